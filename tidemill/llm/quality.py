@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from .common import map_arrow, texts_of
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_echo_words")
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 _SPACES = " \t\n\v\f\r"
@@ -34,7 +34,8 @@ def measure(text: str) -> tuple[int, ...]:
     chars = len(text) - sum(text.count(c) for c in _SPACES)
     symbols = sum(text.count(c) for c in SYMBOLS)
     lines = [x for x in text.split("\n") if x.strip(_SPACES)]
-    return len(words), chars, symbols, len(lines) - len(set(lines)), repeat_words(words), len(lines)
+    echoes = sum(a == b for a, b in zip(words, words[1:]))
+    return len(words), chars, symbols, len(lines) - len(set(lines)), repeat_words(words), len(lines), echoes
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -65,14 +66,15 @@ RULES = (
     Rule("few_words", 0, "n_words < 10"),
     Rule("repeated_windows", 1, "100 * n_repeat_words > 20 * n_words"),
     Rule("symbol_words", 2, "10 * n_symbols > 3 * n_words"),
-    Rule("duplicate_lines", 3, "10 * n_dup_lines > 3 * n_lines"),
+    Rule("duplicate_lines", 3, "2 * n_dup_lines > n_lines"),
     Rule("long_words", 4, "word_chars > 25 * n_words"),
     Rule("short_words", 5, "word_chars < 2 * n_words"),
+    Rule("echoed_words", 6, "10 * n_echo_words > 3 * n_words"),
 )
 #: Versioned policies: the rules whose failure rejects a document.
 POLICIES = {
     "base": ("few_words", "repeated_windows"),
-    "v1": ("few_words", "repeated_windows", "symbol_words", "duplicate_lines", "long_words", "short_words"),
+    "v1": ("few_words", "repeated_windows", "symbol_words", "duplicate_lines", "long_words", "short_words", "echoed_words"),
 }
 
 
