@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality
+from . import bpe, html_extract, quality, toxicity, url_filter
+
+#: The rules of the URL filter.
+URL_RULES = url_filter.Rules(
+    allow=("com/", "www.example.com/en/"),
+    block=("example.com/en/", "net/es/", "net/fr/"),
+    blocked_labels=("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"),
+)
 
 
 def tokenizer_file() -> str:
@@ -29,6 +36,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages")).withColumnRenamed("n_shared", "n_shared_lines")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learnt from labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), "score",
+        F.expr("cast(score >= 0.5 as int)").alias("predicted"),
+    )
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, winning rule and verdict."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every text's ids and of what they decode to."""
     docs = table(spark, sf_dir, "documents")
@@ -47,6 +74,9 @@ def op9_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_html_main_text": op2_html_main_text,
+    "op6_toxicity": op6_toxicity,
+    "op7_url_filter": op7_url_filter,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_ledger": op9_quality_ledger,
 }
