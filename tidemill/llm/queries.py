@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, quality, toxicity, url_filter
+from . import bpe, html_extract, quality, simhash, toxicity, url_filter, warc
 
 #: The rules of the URL filter.
 URL_RULES = url_filter.Rules(
@@ -41,6 +41,12 @@ def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages")).withColumnRenamed("n_shared", "n_shared_lines")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint over four-word shingles and its group at four bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learnt from labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -73,12 +79,19 @@ def op9_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, written to archives and read back through the capture index."""
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_main_text": op2_html_main_text,
+    "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
     "op7_url_filter": op7_url_filter,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_ledger": op9_quality_ledger,
+    "op10_warc": op10_warc,
 }
 
 #: DuckDB SQL where SQL can express the whole operator.
