@@ -179,25 +179,56 @@ def _aligned(a: list[int], b: list[int]) -> list[bool]:
     return taken
 
 
+def mark(lines: list[str]) -> list[int]:
+    """A signed 64-bit hash of each line."""
+    return [xxhash.xxh3_64_intdigest(x.encode()) - (1 << 63) for x in lines]
+
+
 def parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(id, url, uid, host, path, lines, own): lines of every page, and whether it named them."""
+    """(id, url, uid, host, path, own, lines, marks) of every page.
+
+    Lines are kept only of pages that name no article, hashes of the lines of all.
+    """
     source = pages.select(
         F.col(id_col), F.col(url_col), F.monotonically_increasing_id().alias("uid"),
         host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"),
         F.coalesce(F.col(html_col), F.lit("")).alias("html"),
     )
-    schema = T.StructType([*source.schema[:5], T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("own", T.BooleanType())])
+    schema = T.StructType([*source.schema[:5], T.StructField("own", T.BooleanType()), T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("marks", T.ArrayType(T.LongType()))])
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             got = [lines_of(x) for x in batch.column(5).to_pylist()]
-            return pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([x for x, _ in got], pa.list_(pa.string())), pa.array([y for _, y in got])], names=schema.names)
+            lines = pa.array([None if own else x for x, own in got], pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([y for _, y in got]), lines, pa.array([mark(x) for x, _ in got], pa.list_(pa.int64()))], names=schema.names)
+
+        return step
+
+    return map_arrow(source, make, schema)
+
+
+def article_texts(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """(id, url, text, n_chars, n_shared) of the pages that name their article."""
+    source = pages.select(F.col(id_col), F.col(url_col), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    schema = _result(source)
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            got = [lines_of(x) for x in batch.column(2).to_pylist()]
+            texts = ["\n\n".join(x) for x, own in got if own]
+            kept = batch.filter(pa.array([own for _, own in got]))
+            return pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([0] * len(texts), pa.int64())], names=schema.names)
 
         return step
 
     return map_arrow(source, make, schema)
 
 
+def _result(rows: DataFrame) -> T.StructType:
+    """The extractor's columns, the first two as in rows."""
+    return T.StructType([*rows.schema[:2], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_shared", T.LongType())])
+
+
 def neighbours(sites: DataFrame, id_col: str) -> DataFrame:
     """(uid, host, path, prev, next): uid and path of the pages before and after, in each host's order.
 
@@ -237,30 +268,24 @@ def partners(near: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars, n_shared): the main text of every page, blocks joined by a blank line."""
     lines = written(parsed(pages, id_col, url_col, html_col), "page-lines")
-    unsure = lines.where(~F.col("own") & (F.size("lines") > 0)).select("uid")
-    pair = partners(neighbours(lines, id_col).join(unsure, "uid", "left_semi"))
-    other = lines.select(F.col("uid").alias("partner"), F.col("lines").alias("other"))
-    paired = lines.where(~F.col("own")).join(pair.join(other, "partner").select("uid", "other"), "uid", "left")
-    whole = lines.where("own").withColumn("other", F.lit(None).cast("array<string>"))
-    rows = whole.select(id_col, url_col, "lines", "other").unionByName(paired.select(id_col, url_col, "lines", "other"))
-    schema = T.StructType([*rows.schema[:2], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_shared", T.LongType())])
+    unsure = lines.where(~F.col("own"))
+    pair = partners(neighbours(lines, id_col).join(unsure.where(F.size("lines") > 0).select("uid"), "uid", "left_semi"))
+    other = lines.select(F.col("uid").alias("partner"), F.col("marks").alias("other"))
+    rows = unsure.join(pair.join(other, "partner").select("uid", "other"), "uid", "left").select(id_col, url_col, "lines", "marks", "other")
+    schema = _result(rows)
 
     def make():
-        mark = lambda xs: [xxhash.xxh3_128_intdigest(x.encode()) for x in xs]
-
-        def one(mine: list[str], other: list[str] | None) -> tuple[str, int]:
-            if not other:
-                return "\n\n".join(mine), 0
-            taken = shared_lines(mark(mine), mark(other))
-            if all(taken):
-                return "\n\n".join(mine), 0
-            return "\n\n".join(x for x, t in zip(mine, taken) if not t), sum(taken)
+        def one(lines: list[str], marks: list[int], other: list[int] | None) -> tuple[str, int]:
+            taken = shared_lines(marks, other or [])
+            if all(taken):  # a copy of its neighbour, or no line at all
+                return "\n\n".join(lines), 0
+            return "\n\n".join(x for x, t in zip(lines, taken) if not t), sum(taken)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = [one(a or [], b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            got = [one(*x) for x in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
             texts = [t for t, _ in got]
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([k for _, k in got], pa.int64())], names=schema.names)
 
         return step
 
-    return map_arrow(rows, make, schema)
+    return article_texts(pages, id_col, url_col, html_col).unionByName(map_arrow(rows, make, schema))
