@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.shipping import ship_package
+
 #: Records of one Arrow batch; a batch of long texts must fit beside the JVM.
 BATCH_RECORDS = 512
 
@@ -41,7 +43,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, records: int = BATCH_RECORDS) -> None:
-    """Lower the session's Arrow batch size to `records`, never raise it."""
+    """Before Python work: ship the package, lower the Arrow batch size to `records`, never raise it."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > records:
         spark.conf.set(key, str(records))

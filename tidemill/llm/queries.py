@@ -4,11 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, quality, simhash, toxicity, url_filter, warc
+from . import ann, bpe, html_extract, mixing, quality, simhash, suffix_dedup, toxicity, url_filter, warc
+from .common import written
 
+#: Each source's domain; sources that are not listed are `other`.
+DOMAINS = {
+    "web": ("src0", "src1", "src2", "src3", "src4", "src5", "src6", "src7"),
+    "reference": ("src8", "src9", "src10", "src11", "src12", "src13"),
+    "forum": ("src14", "src15", "src16", "src17"),
+}
+#: Half of all tokens, at most three epochs of a source.
+MIX = mixing.Mix(
+    weights={"domain": {"web": 4, "reference": 5, "forum": 2}, "lang": {"en": 3, "de": 2, "fr": 2, "es": 2}},
+    budget_num=1, budget_den=2, max_epochs=3, seed="tidemill",
+)
 #: The rules of the URL filter.
 URL_RULES = url_filter.Rules(
     allow=("com/", "www.example.com/en/"),
@@ -36,11 +48,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def domain_of(source: Column) -> Column:
+    """The domain of DOMAINS that a source belongs to."""
+    found = F.lit("other")
+    for name, sources in DOMAINS.items():
+        found = F.when(source.isin(*sources), F.lit(name)).otherwise(found)
+    return found
+
+
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and epoch that the mix takes."""
+    docs = table(spark, sf_dir, "documents")
+    leaf = mixing.leaf_columns(docs, domain_of(F.col("source")))
+    rows = written(docs.select(*leaf, mixing.tokens(F.col("text")).alias("n_tokens")), "token-counts")
+    leaves = mixing.plan(rows, MIX)
+    return mixing.select(rows, leaves, MIX, [F.col(n) for n in mixing.LEVELS])
+
+
 def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html_extract.extract(table(spark, sf_dir, "pages")).withColumnRenamed("n_shared", "n_shared_lines")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps once repeated 200-byte strings are gone."""
+    rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every row whose id is divisible by fifty."""
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows, lambda i: i % 50 == 0, k=5)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint over four-word shingles and its group at four bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
@@ -85,7 +126,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mix": op1_source_mix,
     "op2_html_main_text": op2_html_main_text,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_learned_partitions": op4_learned_partitions,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
     "op7_url_filter": op7_url_filter,
