@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,36 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.shipping import ship_package
+from ..functions.work import work_path, written
+
+__all__ = ["BATCH_RECORDS", "clear_of", "map_arrow", "small_batches", "texts_of", "work_path", "written"]
 
 #: Records of one Arrow batch; a batch of long texts must fit beside the JVM.
 BATCH_RECORDS = 512
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir), as a URI.
-
-    Where the session has none, as in tests, a fresh local folder becomes it.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="tidemill-")
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def work_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/tidemill/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and outlives executors."""
-    path = work_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, records: int = BATCH_RECORDS) -> None:
     """Before Python work: ship the package, lower the Arrow batch size to `records`, never raise it."""
     ship_package(spark)

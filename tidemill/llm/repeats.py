@@ -29,37 +29,53 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
-def window_argmin(values: np.ndarray, w: int) -> np.ndarray:
-    """The place of the least of every w consecutive values, the first if equal, by doubling."""
-    size, at = 1, np.arange(len(values), dtype=np.int32)
+#: Low bits of a packed (hash, place) number; texts are cut into blocks of fewer places.
+_PLACE = 22
+
 
-    def merged(step: int) -> None:
-        nonlocal values, at
-        later = values[step:] < values[: len(values) - step]
-        values = np.where(later, values[step:], values[: len(values) - step])
-        at = np.where(later, at[step:], at[: len(at) - step])
+def window_argmin(values: np.ndarray, w: int) -> np.ndarray:
+    """The place of the least of every w consecutive values, by doubling.
 
+    Values count by their upper bits; of equal ones the first place wins.
+    """
+    low = np.uint64((1 << _PLACE) - 1)
+    packed, size = (values & ~low) | np.arange(len(values), dtype=np.uint64), 1
     while size * 2 <= w:
-        merged(size)
+        packed = np.minimum(packed[:-size], packed[size:])
         size *= 2
     if size < w:
-        merged(w - size)
-    return at
+        packed = np.minimum(packed[: len(packed) - (w - size)], packed[w - size :])
+    return (packed & low).astype(np.int64)
 
 
-def segments(data: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, start, count): runs of window starts whose windows have the same least gram.
+def segments(data: np.ndarray, length: int, k: int, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(anchor, start, count, offset): runs of window starts whose windows have the same least gram.
 
+    data holds texts one after another, which end at `ends`; windows do not cross them.
     Equal windows of `length` bytes have equal anchors (the hash of that gram) wherever they
     stand, and two equal windows are never in one run, for each has the gram at the same
-    place within. Every start of a whole window is in exactly one run.
+    place within. Every start of a whole window is in exactly one run; offset is the gram's
+    place from the run's start.
     """
     if len(data) < length:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     hashes = gram_hashes(data, k)
     at = window_argmin(hashes, length - k + 1)
-    start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    return hashes[at[start]], start, np.diff(np.append(start, len(at)))
+    n = len(at)
+    new = np.append(True, at[1:] != at[:-1])
+    # starts too near the end of their text are in no run
+    for e in ends.tolist():
+        lo = max(0, e - length + 1)
+        if lo < n:
+            at[lo : min(e, n)] = -1
+            new[lo] = True
+        if e < n:
+            new[e] = True
+    start = np.flatnonzero(new)
+    count = np.diff(np.append(start, n))
+    whole = at[start] >= 0
+    start, count = start[whole], count[whole]
+    return hashes[at[start]], start, count, at[start] - start
 
 
 def smaller_than_next(text: np.ndarray) -> np.ndarray:

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,25 +39,49 @@ from .common import map_arrow, small_batches, written
 from .repeats import common_prefix_at_least, segments, two_stage_suffixes
 
 LENGTH, GRAM = 200, 24
-#: Windows of a text that are looked at together.
-SLICE = 1 << 20
+#: Windows of one very long text that are looked at together, and bytes of short ones.
+SLICE, BLOCK = 1 << 20, 1 << 18
 #: Bytes of different segments from which an anchor is dealt in parts; and of one suffix array.
-PART_BYTES, ARRAY_BYTES = 1 << 20, 1 << 19
+PART_BYTES, ARRAY_BYTES = 1 << 20, 1 << 18
 
 _L, _I = T.LongType(), T.IntegerType()
 
 
-def text_segments(data: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(anchor, hash of the bytes, start, windows) of every segment of one text."""
-    x = np.frombuffer(data, np.uint8)
-    found = []
-    for at in range(0, max(1, len(x) - length + 1), SLICE):
-        a, s, n = segments(x[at : at + SLICE + length - 1], length, gram)
-        found.append((a, s + at, n))
-    a, s, n = (np.concatenate(x) for x in zip(*found))
-    digest = xxhash.xxh3_64_digest
-    hashes = b"".join([digest(data[i:j]) for i, j in zip(s.tolist(), (s + n + length - 1).tolist())])
-    return a.view(np.int64), np.frombuffer(hashes, "<i8"), s.astype(np.int32), n.astype(np.int32)
+def text_segments(texts: list[bytes], length: int, gram: int, hashed: bool = True) -> tuple[np.ndarray, ...]:
+    """(anchor, hash of the bytes, text number, start, windows, offset) of every segment of the texts.
+
+    Texts are looked at in blocks, many short ones together, a very long one in slices that
+    overlap by a window.
+    """
+    found: list[tuple[np.ndarray, ...]] = []
+    block: list[tuple[int, int, bytes]] = []
+
+    def look() -> None:
+        data = b"".join(x for _, _, x in block)
+        ends = np.cumsum([len(x) for _, _, x in block])
+        a, s, n, o = segments(np.frombuffer(data, np.uint8), length, gram, ends)
+        who = np.searchsorted(ends, s, "right")
+        g = np.zeros(len(a), np.int64)
+        if hashed:
+            digest = xxhash.xxh3_64_digest
+            g = np.frombuffer(b"".join([digest(data[i:j]) for i, j in zip(s.tolist(), (s + n + length - 1).tolist())]), "<i8")
+        text = np.array([t for t, _, _ in block])[who]
+        shift = (np.array([at for _, at, _ in block]) - (ends - [len(x) for _, _, x in block]))[who]
+        found.append((a.view(np.int64), g, text, (s + shift).astype(np.int32), n.astype(np.int32), o.astype(np.int32)))
+        block.clear()
+
+    size = 0
+    for t, data in enumerate(texts):
+        for at in range(0, max(1, len(data) - length + 1), SLICE):
+            piece = data[at : at + SLICE + length - 1]
+            block.append((t, at, piece))
+            size += len(piece)
+            if size >= BLOCK:
+                look()
+                size = 0
+    if block:
+        look()
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -65,18 +90,16 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _segments(keyed: DataFrame, length: int, gram: int, places: bool) -> DataFrame:
-    """(m) of every segment; with places (m, g, id, h, s, n)."""
-    schema = T.StructType([T.StructField("m", _L)] + ([T.StructField("g", _L), *keyed.schema[:2], T.StructField("s", _I), T.StructField("n", _I)] if places else []))
+    """(m) of every segment; with places (m, g, id, h, s, n, o)."""
+    schema = T.StructType([T.StructField("m", _L)] + ([T.StructField("g", _L), *keyed.schema[:2], *(T.StructField(x, _I) for x in "sno")] if places else []))
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = [text_segments(t.encode(), length, gram) for t in batch.column(2).to_pylist()]
-            m = np.concatenate([x[0] for x in got])
+            m, g, who, s, n, o = text_segments([t.encode() for t in batch.column(2).to_pylist()], length, gram, places)
             if not places:
                 return pa.RecordBatch.from_arrays([pa.array(m)], names=["m"])
-            g, s, n = (np.concatenate([x[i] for x in got]) for i in (1, 2, 3))
-            who = pa.array(np.repeat(np.arange(len(got)), [len(x[0]) for x in got]))
-            return pa.RecordBatch.from_arrays([pa.array(m), pa.array(g), batch.column(0).take(who), batch.column(1).take(who), pa.array(s), pa.array(n)], names=schema.names)
+            who = pa.array(who)
+            return pa.RecordBatch.from_arrays([pa.array(m), pa.array(g), batch.column(0).take(who), batch.column(1).take(who), pa.array(s), pa.array(n), pa.array(o)], names=schema.names)
 
         return step
 
@@ -84,9 +107,13 @@ def _segments(keyed: DataFrame, length: int, gram: int, places: bool) -> DataFra
 
 
 def repeated_places(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """(m, g, id, h, s, n): segments whose anchor occurs twice or more in the corpus."""
+    """(m, g, id, h, s, n, o): segments whose anchor occurs twice or more in the corpus.
+
+    The anchors are written first, so the join deals both sides itself and can split an
+    anchor that very many texts hold.
+    """
     often = _segments(keyed, length, gram, False).groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m")
-    return _segments(keyed, length, gram, True).join(often, "m")
+    return _segments(keyed, length, gram, True).join(written(often, "repeated-anchors"), "m")
 
 
 def _bits(runs: np.ndarray) -> bytes:
@@ -98,6 +125,8 @@ def _sorted_groups(parts: list[tuple[int, bytes, int, int]], length: int) -> lis
 
     Equal strings within one group have equal numbers. One suffix array over all parts.
     """
+    if not parts:
+        return []
     text = b"".join(x[1] for x in parts)
     sizes = np.array([len(x[1]) for x in parts])
     starts = np.cumsum(sizes) - sizes
@@ -111,38 +140,80 @@ def _sorted_groups(parts: list[tuple[int, bytes, int, int]], length: int) -> lis
     number[order] = np.cumsum(np.append(0, ~chain))
     group = np.array([p[3] for p in parts])[owner]
     # windows of other anchors cannot be equal; groups tell salted parts of one anchor apart
-    _, inv = np.unique(np.stack([group, number[at]]), axis=1, return_inverse=True)
+    _, inv = np.unique(number[at] * (int(group.max()) + 1) + group, return_inverse=True)
     weight = np.bincount(inv, np.array([p[2] for p in parts], float)[owner])[inv]
     cuts = np.cumsum(windows)[:-1]
     return list(zip(np.split(inv, cuts), np.split(weight, cuts)))
 
 
+def _halves(rows: list[tuple], length: int, gram: int) -> list[tuple[int, int, int]]:
+    """(row, first window, end) of what can have an equal: windows whose longer side does.
+
+    A window holds its anchor with `length - gram` more bytes, so at least half of them on
+    one side. Windows with half or more on the left need another segment with the same
+    half before the anchor, the others one with the same half after it; the rest of a
+    segment is not sorted. Parts of dealt anchors stay whole, their equals may be elsewhere.
+    """
+    half = (length - gram) // 2
+    sides: list[tuple[int, int, int, tuple]] = []
+    count: dict[tuple, int] = {}
+    digest = xxhash.xxh3_64_intdigest
+    for i, (m, salt, salts, _, _, n, o, data) in enumerate(rows):
+        if salts > 1:
+            sides.append((i, 0, n, ()))
+            continue
+        cut = min(n, max(0, o - half + 1))
+        if cut:
+            sides.append((i, 0, cut, (m, 0, digest(data[o - half : o + gram]))))
+        if cut < n:
+            sides.append((i, cut, n, (m, 1, digest(data[o : o + gram + length - gram - half]))))
+    for *_, key in sides:
+        count[key] = count.get(key, 0) + 1
+    out: list[tuple[int, int, int]] = []
+    for i, a, b, key in sides:
+        if not key or count[key] > 1:
+            if out and out[-1][0] == i:
+                out[-1] = (i, out[-1][1], b)
+            else:
+                out.append((i, a, b))
+    return out
+
+
 _MARKED = T.StructType([T.StructField("m", _L), T.StructField("g", _L), T.StructField("runs", T.BinaryType()), T.StructField("first", T.BinaryType()), T.StructField("prints", T.BinaryType()), T.StructField("weights", T.BinaryType())])
 
 
-def _mark(length: int):
-    """Over rows (m, salt, salts, g, w, n, data) sorted by (m, salt): which windows are repeated.
+def _mark(length: int, gram: int):
+    """Over rows (m, salt, salts, g, w, n, o, data) sorted by (m, salt): which windows are repeated.
 
     Of parts of a dealt anchor also `first` (bits: windows to be counted over the parts),
     their 16-byte prints and their weights within the part.
     """
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
-        numbers: dict[tuple[int, int], int] = {}
-        parts = [(n, data, w, numbers.setdefault((m, salt), len(numbers))) for m, salt, _, _, w, n, data in rows]
+        groups: dict[tuple[int, int], int] = {}
+        looked = _halves(rows, length, gram)
+        parts = []
+        for i, a, b in looked:
+            m, salt, _, _, w, _, _, data = rows[i]
+            parts.append((b - a, data[a : b + length - 1], w, groups.setdefault((m, salt), len(groups))))
+        again = {i: (a, b, *x) for (i, a, b), x in zip(looked, _sorted_groups(parts, length))}
         out, met = [], set()
-        for (m, _, salts, g, _, n, data), (number, weight) in zip(rows, _sorted_groups(parts, length)):
+        for i, (m, _, salts, g, w, n, _, data) in enumerate(rows):
+            runs = np.full(n, w > 1)
             first = prints = weights = None
-            if salts > 1:
-                new = np.zeros(n, bool)
-                for i, x in enumerate(number.tolist()):
-                    if x not in met:
-                        met.add(x)
-                        new[i] = True
-                first = _bits(new)
-                prints = b"".join(xxhash.xxh3_128_digest(data[i : i + length]) for i in np.flatnonzero(new).tolist())
-                weights = weight[new].astype("<i8").tobytes()
-            out.append((m, g, _bits(weight > 1), first, prints, weights))
+            if i in again:
+                a, b, number, weight = again[i]
+                runs[a:b] = weight > 1
+                if salts > 1:
+                    new = np.zeros(n, bool)
+                    for j, x in enumerate(number.tolist()):
+                        if x not in met:
+                            met.add(x)
+                            new[j] = True
+                    first = _bits(new)
+                    prints = b"".join(xxhash.xxh3_128_digest(data[j : j + length]) for j in np.flatnonzero(new).tolist())
+                    weights = weight[new].astype("<i8").tobytes()
+            out.append((m, g, _bits(runs), first, prints, weights))
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out), kinds)], names=_MARKED.names)
 
@@ -154,7 +225,7 @@ def _mark(length: int):
                     yield flush(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[6])
+                size += len(row[7])
         if held:
             yield flush(held)
 
@@ -197,32 +268,33 @@ def _across(marked: DataFrame) -> DataFrame:
 
 
 def _cut(rows: DataFrame, length: int) -> DataFrame:
-    """(m, salt, salts, g, w, n, data) from rows (text, spans)."""
-    schema = T.StructType([T.StructField("m", _L), T.StructField("salt", _L), T.StructField("salts", _L), T.StructField("g", _L), T.StructField("w", _L), T.StructField("n", _I), T.StructField("data", T.BinaryType())])
+    """(m, salt, salts, g, w, n, o, data) from rows (text, spans)."""
+    schema = T.StructType([T.StructField("m", _L), T.StructField("salt", _L), T.StructField("salts", _L), T.StructField("g", _L), T.StructField("w", _L), T.StructField("n", _I), T.StructField("o", _I), T.StructField("data", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 data = text.encode()
-                out += [(x["m"], x["g"] % x["salts"], x["salts"], x["g"], x["w"], x["n"], data[x["s"] : x["s"] + x["n"] + length - 1]) for x in spans]
+                out += [(x["m"], x["g"] % x["salts"], x["salts"], x["g"], x["w"], x["n"], x["o"], data[x["s"] : x["s"] + x["n"] + length - 1]) for x in spans]
             for i in range(0, len(out), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out[i : i + 4096]), (pa.int64(),) * 5 + (pa.int32(), pa.binary()))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out[i : i + 4096]), (pa.int64(),) * 5 + (pa.int32(), pa.int32(), pa.binary()))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
-def spans_of(data: bytes, found: list[tuple[int, int, bytes | None]], length: int) -> np.ndarray:
-    """Maximal removed [start, end) spans of a text from its segments (start, windows, runs; None: all)."""
-    grow = np.zeros(len(data) + 1, np.int64)
-    for s, n, runs in found:
-        if runs is None:
-            grow[s] += 1
-            grow[s + n + length - 1] -= 1
-        else:
-            at = s + np.flatnonzero(np.unpackbits(np.frombuffer(runs, np.uint8), count=n, bitorder="little"))
-            np.add.at(grow, at, 1)
-            np.add.at(grow, at + length, -1)
+def spans_of(size: int, start: np.ndarray, windows: np.ndarray, runs: list[bytes | None], length: int) -> np.ndarray:
+    """Maximal removed [start, end) spans of a text of `size` bytes from its segments (runs None: all windows)."""
+    grow = np.zeros(size + 1, np.int64)
+    whole = np.array([r is None for r in runs])
+    np.add.at(grow, start[whole], 1)
+    np.add.at(grow, start[whole] + windows[whole] + length - 1, -1)
+    if not whole.all():
+        part = np.flatnonzero(~whole)
+        bits = [np.flatnonzero(np.unpackbits(np.frombuffer(runs[i], np.uint8), count=int(windows[i]), bitorder="little")) + start[i] for i in part.tolist()]
+        at = np.concatenate(bits)
+        np.add.at(grow, at, 1)
+        np.add.at(grow, at + length, -1)
     gone = np.diff(np.concatenate([[0], np.cumsum(grow)[:-1] > 0, [0]]))
     return np.stack([np.flatnonzero(gone == 1), np.flatnonzero(gone == -1)], axis=1)
 
@@ -232,19 +304,21 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, i
     small_batches(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
     places = written(repeated_places(keyed, length, gram), "repeated-places")
-    kinds = places.groupBy("m", "g").agg(F.count("*").alias("w"), F.min(F.struct("id", "h", "s", "n")).alias("at"))
-    kinds = kinds.select("m", "g", "w", "at.*")
+    # any place of a kind will do: its bytes are the same everywhere
+    kinds = places.groupBy("m", "g").agg(F.count("*").alias("w"), *(F.first(c).alias(c) for c in ("id", "h", "s", "n", "o")))
+    kinds = written(kinds, "segment-kinds")
     several = kinds.groupBy("m").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + (length - 1)).alias("bytes"))
-    kinds = written(kinds.join(several, "m").withColumn("salts", F.expr(f"1 + bytes div {PART_BYTES}")), "segment-kinds")
-    alone = kinds.where("kinds = 1").select("m", "g", F.lit(None).cast("binary").alias("runs"))
+    several = written(several.where("kinds > 1").select("m", F.expr(f"1 + bytes div {PART_BYTES}").alias("salts")), "several-kinds")
+    kinds = kinds.join(several, "m", "left")
+    alone = kinds.where("salts is null").select("m", "g", F.lit(None).cast("binary").alias("runs"))
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate((id_col, *carry))), *(c.alias(x) for c, x in zip((F.col(id_col), F.hash(F.coalesce(F.col(text_col), F.lit(""))), F.coalesce(F.col(text_col), F.lit(""))), ("id", "h", "text"))))
     dealt = source.repartition(n, "id", "h")  # texts are shuffled once; both joins reuse this exchange
-    wanted = kinds.where("kinds > 1").select("id", "h", F.struct("m", "g", "w", "s", "n", "salts").alias("x")).groupBy("id", "h").agg(F.collect_list("x").alias("spans"))
+    wanted = kinds.where("salts is not null").select("id", "h", F.struct("m", "g", "w", "s", "n", "o", "salts").alias("x")).groupBy("id", "h").agg(F.collect_list("x").alias("spans"))
     wanted = wanted.select(F.col("id").alias("wid"), F.col("h").alias("wh"), "spans").hint("shuffle_hash")
     cut = _cut(dealt.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("h") == F.col("wh"))).dropDuplicates(["id", "h"]).select("text", "spans"), length)
-    marked = cut.repartition("m", "salt").sortWithinPartitions("m", "salt").mapInArrow(_mark(length), _MARKED)
+    marked = cut.repartition("m", "salt").sortWithinPartitions("m", "salt").mapInArrow(_mark(length, gram), _MARKED)
     marked = written(marked, "marked")
     found = alone.unionByName(marked.where("first is null").select("m", "g", "runs")).unionByName(_across(marked.where("first is not null")))
 
@@ -258,18 +332,21 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, i
     )
 
     def make():
-        def one(text: str, found: list[dict] | None) -> tuple:
-            data = text.encode()
-            if not found:
+        def one(data: bytes, start: np.ndarray, windows: np.ndarray, runs: list) -> tuple:
+            if not runs:
                 return len(data), 0, 0, data, []
-            spans = spans_of(data, [(x["s"], x["n"], x["runs"]) for x in found], length)
+            spans = spans_of(len(data), start, windows, runs, length)
             edges = [0, *spans.ravel().tolist(), len(data)]
             kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
             return len(data), len(data) - len(kept), len(spans), kept, spans.tolist()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             k = len(held)
-            got = zip(*(one(*x) for x in zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist())))
+            found = batch.column(k + 1)
+            flat, size = found.flatten(), pc.fill_null(pc.list_value_length(found), 0).to_numpy()
+            start, windows, runs = flat.field("s").to_numpy(), flat.field("n").to_numpy(), flat.field("runs").to_pylist()
+            ends = np.cumsum(size).tolist()
+            got = zip(*(one(t.encode(), start[a:b], windows[a:b], runs[a:b]) for t, a, b in zip(batch.column(k).to_pylist(), [0, *ends], ends)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.list_(pa.int64())))
             return pa.RecordBatch.from_arrays([*batch.columns[:k], *(pa.array(list(x), t) for x, t in zip(got, kinds))], names=schema.names)
 
