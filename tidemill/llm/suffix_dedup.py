@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -267,15 +268,33 @@ def _across(marked: DataFrame) -> DataFrame:
     return map_arrow(marked.select("m", "g", "runs").join(found, ["m", "g"], "left"), merge, schema)
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """rows with `text` as compressed bytes, for the shuffles that texts take."""
+    schema = T.StructType([T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in rows.schema])
+    at = rows.columns.index("text")
+
+    def make():
+        pack = zstandard.ZstdCompressor(level=1).compress
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = pa.array([pack(t.encode()) for t in batch.column(at).to_pylist()], pa.binary())
+            return pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns)], names=schema.names)
+
+        return step
+
+    return map_arrow(rows, make, schema)
+
+
 def _cut(rows: DataFrame, length: int) -> DataFrame:
     """(m, salt, salts, g, w, n, o, data) from rows (text, spans)."""
     schema = T.StructType([T.StructField("m", _L), T.StructField("salt", _L), T.StructField("salts", _L), T.StructField("g", _L), T.StructField("w", _L), T.StructField("n", _I), T.StructField("o", _I), T.StructField("data", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             out = []
             for text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                data = text.encode()
+                data = unpack(text)
                 out += [(x["m"], x["g"] % x["salts"], x["salts"], x["g"], x["w"], x["n"], x["o"], data[x["s"] : x["s"] + x["n"] + length - 1]) for x in spans]
             for i in range(0, len(out), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out[i : i + 4096]), (pa.int64(),) * 5 + (pa.int32(), pa.int32(), pa.binary()))], names=schema.names)
@@ -312,26 +331,28 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, i
     kinds = kinds.join(several, "m", "left")
     alone = kinds.where("salts is null").select("m", "g", F.lit(None).cast("binary").alias("runs"))
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate((id_col, *carry))), *(c.alias(x) for c, x in zip((F.col(id_col), F.hash(F.coalesce(F.col(text_col), F.lit(""))), F.coalesce(F.col(text_col), F.lit(""))), ("id", "h", "text"))))
-    dealt = source.repartition(n, "id", "h")  # texts are shuffled once; both joins reuse this exchange
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    held = [f"c{i}" for i in range(1 + len(carry))]
+    source = docs.select(*(F.col(c).alias(x) for c, x in zip((id_col, *carry), held)), F.col(id_col).alias("id"), F.hash(text).alias("h"), text.alias("text"))
     wanted = kinds.where("salts is not null").select("id", "h", F.struct("m", "g", "w", "s", "n", "o", "salts").alias("x")).groupBy("id", "h").agg(F.collect_list("x").alias("spans"))
     wanted = wanted.select(F.col("id").alias("wid"), F.col("h").alias("wh"), "spans").hint("shuffle_hash")
-    cut = _cut(dealt.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("h") == F.col("wh"))).dropDuplicates(["id", "h"]).select("text", "spans"), length)
+    here = F.col("id").eqNullSafe(F.col("wid")) & (F.col("h") == F.col("wh"))
+    cut = _cut(_packed(keyed).join(wanted, here).dropDuplicates(["id", "h"]).select("text", "spans"), length)
     marked = cut.repartition("m", "salt").sortWithinPartitions("m", "salt").mapInArrow(_mark(length, gram), _MARKED)
     marked = written(marked, "marked")
     found = alone.unionByName(marked.where("first is null").select("m", "g", "runs")).unionByName(_across(marked.where("first is not null")))
 
     back = places.join(found, ["m", "g"]).groupBy("id", "h").agg(F.collect_list(F.struct("s", "n", "runs")).alias("found"))
     back = back.select(F.col("id").alias("wid"), F.col("h").alias("wh"), "found").hint("shuffle_hash")
-    rows = dealt.join(back, F.col("id").eqNullSafe(F.col("wid")) & (F.col("h") == F.col("wh")), "left")
-    held = [f"c{i}" for i in range(1 + len(carry))]
+    rows = _packed(source).join(back, here, "left")
     rows = rows.select(*held, "text", "found")
     schema = T.StructType(
         [*rows.schema[: len(held)], T.StructField("n_bytes", _L), T.StructField("n_removed", _L), T.StructField("n_spans", _L), T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(T.ArrayType(_L)))]
     )
 
     def make():
+        unpack = zstandard.ZstdDecompressor().decompress
+
         def one(data: bytes, start: np.ndarray, windows: np.ndarray, runs: list) -> tuple:
             if not runs:
                 return len(data), 0, 0, data, []
@@ -346,7 +367,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, i
             flat, size = found.flatten(), pc.fill_null(pc.list_value_length(found), 0).to_numpy()
             start, windows, runs = flat.field("s").to_numpy(), flat.field("n").to_numpy(), flat.field("runs").to_pylist()
             ends = np.cumsum(size).tolist()
-            got = zip(*(one(t.encode(), start[a:b], windows[a:b], runs[a:b]) for t, a, b in zip(batch.column(k).to_pylist(), [0, *ends], ends)))
+            got = zip(*(one(unpack(t), start[a:b], windows[a:b], runs[a:b]) for t, a, b in zip(batch.column(k).to_pylist(), [0, *ends], ends)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.list_(pa.int64())))
             return pa.RecordBatch.from_arrays([*batch.columns[:k], *(pa.array(list(x), t) for x, t in zip(got, kinds))], names=schema.names)
 
