@@ -4,15 +4,19 @@ A cell is STRUCT<kind, text, norm, whole, plain>: kind is one of null, str, int,
 date, datetime, other; text prints the value; norm is text in NFC; whole is the exact integer
 that a number equals, plain its decimal form without exponent (null if it has none). Every
 rule gives STRUCT<value, event, issue, reason> and never drops a row. Digits are ASCII digits.
+
+A rule keeps what it uses more than once as columns of its own (Steps), layer upon layer:
+written as one expression it would repeat itself at every level, and Spark would plan and
+evaluate each repetition.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +31,36 @@ EMAIL = rf"(?U)\A[^@\s\x1c-\x1f]+@{_LABEL}(?:\.{_LABEL})+\z"
 _NULL = F.lit(None).cast("string")
 
 
+class Steps:
+    """Columns that one rule keeps, in the order in which they build on each other."""
+
+    def __init__(self, prefix: str):
+        self.prefix, self.kept = prefix, []
+
+    def keep(self, x: Column) -> Column:
+        """x as a column of the next layer."""
+        name = f"{self.prefix}_{len(self.kept)}"
+        self.kept.append(x.alias(name))
+        return F.col(name)
+
+
+def layered(frame: DataFrame, steps: Sequence[Steps]) -> DataFrame:
+    """frame with every rule's columns, the first of each in one layer, and so on."""
+    for level in range(max((len(s.kept) for s in steps), default=0)):
+        frame = frame.select("*", *(s.kept[level] for s in steps if len(s.kept) > level))
+    return frame
+
+
+def fenced(frame: DataFrame, *columns: str) -> DataFrame:
+    """frame, with `columns` by expressions that Spark may not evaluate twice.
+
+    So a filter on them is not rewritten into the expressions below, which would repeat them
+    at every layer.
+    """
+    once = F.monotonically_increasing_id() >= 0  # always true, but not to be moved
+    return frame.select(*(F.when(once, F.col(c)).alias(c) if c in columns else F.col(c) for c in frame.columns))
+
+
 @F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Unicode NFC."""
@@ -65,17 +99,17 @@ def _changed(c: Column, value: Column, code: str) -> Column:
     return F.when(value.isNotNull() & (value != c["text"]), code)
 
 
-def text(c: Column) -> Column:
+def text(c: Column, t: Steps) -> Column:
     """Descriptive text; case is kept, blank becomes null without an event."""
-    value = clean(c)
+    value = t.keep(clean(c))
     return _result(value, _changed(c, value, "NORMALIZE_WHITESPACE"))
 
 
-def identifier(c: Column, missing: str) -> Column:
+def identifier(c: Column, missing: str, t: Steps) -> Column:
     """Upper-cased identifiers; numbers only if they are whole."""
     kind = c["kind"]
-    shown = F.upper(strip(c["norm"]))
-    value = F.when(kind == "bool", c["text"]).when(kind == "float", F.coalesce(c["whole"], c["text"])).otherwise(F.when(shown != "", shown))
+    shown = t.keep(F.upper(strip(c["norm"])))
+    value = t.keep(F.when(kind == "bool", c["text"]).when(kind == "float", F.coalesce(c["whole"], c["text"])).otherwise(F.when(shown != "", shown)))
     fractional = (kind == "float") & c["whole"].isNull()
     refused = (kind == "bool") | fractional
     issue = F.when(value.isNull(), missing).when(refused | ~value.rlike(IDENTIFIER), "INVALID_IDENTIFIER")
@@ -93,12 +127,13 @@ def _integer(signed: Column) -> Column:
     return F.when(signed.startswith("-") & (digits != "0"), F.concat(F.lit("-"), digits)).otherwise(digits)
 
 
-def integer(c: Column) -> Column:
+def integer(c: Column, t: Steps) -> Column:
     """Exact integers of any length, without sign rules; changes make no event."""
-    kind, shown = c["kind"], strip(c["norm"])
+    kind, shown = c["kind"], t.keep(strip(c["norm"]))
     number = kind.isin("int", "float")
     fits = F.when(number, c["whole"].isNotNull()).when(kind == "bool", False).otherwise(shown.rlike(r"\A[+-]?[0-9]+\z"))
-    value = F.when(fits, F.when(number, c["whole"]).otherwise(_integer(shown))).otherwise(F.when(kind.isin("bool", "float"), c["text"]).otherwise(F.when(shown != "", shown)))
+    fits = t.keep(fits)
+    value = t.keep(F.when(fits, F.when(number, c["whole"]).otherwise(_integer(shown))).otherwise(F.when(kind.isin("bool", "float"), c["text"]).otherwise(F.when(shown != "", shown))))
     reason = (
         F.when(value.isNull(), "quantity is missing")
         .when(kind == "bool", "boolean is not an integer")
@@ -118,25 +153,25 @@ _AMOUNTS = (
 )
 
 
-def currency(c: Column) -> Column:
+def currency(c: Column, t: Steps) -> Column:
     """Money in euro with two digits, exact at any length; ambiguous forms are refused."""
-    kind, shown = c["kind"], strip(c["norm"])
+    kind, shown = c["kind"], t.keep(strip(c["norm"]))
     number = kind.isin("int", "float")
     before, after = shown.rlike(r"(?i)\AEUR"), shown.rlike(r"(?i)EUR\z")
-    bare = F.when(before & after, _NULL).when(before, strip(F.substr(shown, F.lit(4)))).when(after, strip(F.regexp_replace(shown, r"(?i)EUR\z", ""))).otherwise(shown)
-    amount = F.regexp_replace(bare, r"\A[+-]", "")
+    bare = t.keep(F.when(before & after, _NULL).when(before, strip(F.substr(shown, F.lit(4)))).when(after, strip(F.regexp_replace(shown, r"(?i)EUR\z", ""))).otherwise(shown))
+    amount = t.keep(F.regexp_replace(bare, r"\A[+-]", ""))
     plain = F.lit(None).cast("string")
     for form, drop, point in reversed(_AMOUNTS):
         turned = F.translate(amount, drop, "") if drop else amount
         turned = F.replace(turned, F.lit(point), F.lit(".")) if point else turned
         plain = F.when(amount.rlike(rf"\A(?:{form})\z"), turned).otherwise(plain)
-    unsigned = F.when(number, F.regexp_replace(c["plain"], r"\A-", "")).when(kind == "bool", _NULL).otherwise(plain)
+    unsigned = t.keep(F.when(number, F.regexp_replace(c["plain"], r"\A-", "")).when(kind == "bool", _NULL).otherwise(plain))
     negative = F.when(number, c["plain"].startswith("-")).otherwise(bare.startswith("-"))
     whole = F.regexp_replace(F.substring_index(unsigned, ".", 1), r"\A0+(?=[0-9])", "")
-    part = F.when(F.instr(unsigned, ".") > 0, F.substring_index(unsigned, ".", -1)).otherwise("")
+    part = t.keep(F.when(F.instr(unsigned, ".") > 0, F.substring_index(unsigned, ".", -1)).otherwise(""))
     precise = F.length(part) <= 2
-    digits = F.concat(whole, F.lit("."), F.rpad(part, 2, "0"))
-    canonical = F.when(unsigned.isNotNull() & precise, F.when(negative & digits.rlike("[1-9]"), F.concat(F.lit("-"), digits)).otherwise(digits))
+    digits = t.keep(F.concat(whole, F.lit("."), F.rpad(part, 2, "0")))
+    canonical = t.keep(F.when(unsigned.isNotNull() & precise, F.when(negative & digits.rlike("[1-9]"), F.concat(F.lit("-"), digits)).otherwise(digits)))
     missing = (kind == "null") | ((kind == "str") & (shown == ""))
     value = F.coalesce(canonical, F.when(~missing, F.when(kind == "str", shown).otherwise(c["text"])))
     reason = (
@@ -157,19 +192,19 @@ def month_numbers() -> dict[str, str]:
     return {name: f"{i:02d}" for i, full in enumerate(MONTH_NAMES, 1) for name in (full, full[:3])}
 
 
-def date(c: Column) -> Column:
+def date(c: Column, t: Steps) -> Column:
     """ISO dates from three bounded forms, dates, and midnight timestamps."""
-    kind, shown = c["kind"], strip(c["norm"])
+    kind, shown = c["kind"], t.keep(strip(c["norm"]))
     slashed, worded = r"\A([0-9]{2})/([0-9]{2})/([0-9]{4})\z", r"\A([0-9]{2}) ([A-Za-z]+) ([0-9]{4})\z"
     at = lambda form, i: F.regexp_extract(shown, form, i)
-    iso = (
+    iso = t.keep(
         F.when(shown.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), shown)
         .when(shown.rlike(slashed), F.concat_ws("-", at(slashed, 3), at(slashed, 2), at(slashed, 1)))
         .when(shown.rlike(worded), F.concat(at(worded, 3), F.lit("-"), F.try_element_at(_map(month_numbers()), F.lower(at(worded, 2))), F.lit("-"), at(worded, 1)))
     )
     real = F.when((iso >= "0001") & F.try_to_date(iso, "yyyy-MM-dd").isNotNull(), iso)
     midnight = F.when(c["text"].rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2} 00:00:00\z"), F.substring(c["text"], 1, 10))
-    canonical = F.when(kind == "str", real).when(kind == "date", c["text"]).when(kind == "datetime", midnight)
+    canonical = t.keep(F.when(kind == "str", real).when(kind == "date", c["text"]).when(kind == "datetime", midnight))
     missing = (kind == "null") | ((kind == "str") & (shown == ""))
     value = F.coalesce(canonical, F.when(~missing, F.when(kind == "str", shown).otherwise(c["text"])))
     reason = (
@@ -181,39 +216,40 @@ def date(c: Column) -> Column:
     return _result(value, F.when(canonical.isNotNull(), _changed(c, canonical, "NORMALIZE_DATE")), F.when(canonical.isNull(), "INVALID_ORDER_DATE"), reason)
 
 
-def _mapped(c: Column, names: Mapping[str, str], event: str, issue: str, reason: str) -> Column:
-    kept = clean(c)
+def _mapped(c: Column, t: Steps, names: Mapping[str, str], event: str, issue: str, reason: str) -> Column:
+    kept = t.keep(clean(c))
     # case folding for map keys; a dotless i has no upper case that leads back to it
     folded = F.when(~kept.contains("ı"), F.lower(F.upper(kept)))
-    canonical = F.try_element_at(_map(names), folded)
+    canonical = t.keep(F.try_element_at(_map(names), folded))
     value = F.coalesce(canonical, kept)
     code = F.when(canonical.isNotNull(), _changed(c, value, event)).otherwise(_changed(c, value, "NORMALIZE_WHITESPACE"))
     return _result(value, code, F.when(kept.isNotNull() & canonical.isNull(), issue), F.lit(reason))
 
 
-def country(c: Column) -> Column:
+def country(c: Column, t: Steps) -> Column:
     """Known countries; others are kept and flagged."""
-    return _mapped(c, COUNTRIES, "NORMALIZE_COUNTRY", "UNKNOWN_COUNTRY", "country is outside the bounded alias map")
+    return _mapped(c, t, COUNTRIES, "NORMALIZE_COUNTRY", "UNKNOWN_COUNTRY", "country is outside the bounded alias map")
 
 
-def category(c: Column) -> Column:
+def category(c: Column, t: Steps) -> Column:
     """Known categories; others are kept and flagged."""
-    return _mapped(c, CATEGORIES, "NORMALIZE_CATEGORY", "UNKNOWN_CATEGORY", "category is outside the bounded alias map")
+    return _mapped(c, t, CATEGORIES, "NORMALIZE_CATEGORY", "UNKNOWN_CATEGORY", "category is outside the bounded alias map")
 
 
-def email(c: Column) -> Column:
+def email(c: Column, t: Steps) -> Column:
     """Stripped; the domain is lower-cased if there is exactly one @; validity only flags."""
-    shown = strip(c["norm"])
+    shown = t.keep(strip(c["norm"]))
     one = F.length(shown) - F.length(F.replace(shown, F.lit("@"), F.lit(""))) == 1
-    value = F.when(shown != "", F.when(one, F.concat(F.substring_index(shown, "@", 1), F.lit("@"), F.lower(F.substring_index(shown, "@", -1)))).otherwise(shown))
+    value = t.keep(F.when(shown != "", F.when(one, F.concat(F.substring_index(shown, "@", 1), F.lit("@"), F.lower(F.substring_index(shown, "@", -1)))).otherwise(shown)))
     return _result(value, _changed(c, value, "NORMALIZE_EMAIL"), F.when(~value.rlike(EMAIL), "INVALID_EMAIL_FORMAT"), F.lit("email does not match the bounded syntax"))
 
 
-def field_rule(field: str, c: Column) -> Column:
-    """The rule that belongs to a field."""
+def field_rule(field: str, c: Column, t: Steps) -> Column:
+    """The rule that belongs to a field; its value is the rule's last step."""
     if field.endswith("_id"):
-        return identifier(c, f"MISSING_{field.upper()}")
-    return {"order_date": date, "quantity": integer, "unit_price_eur": currency, "country": country, "email": email, "category": category}.get(field, text)(c)
+        return t.keep(identifier(c, f"MISSING_{field.upper()}", t))
+    rule = {"order_date": date, "quantity": integer, "unit_price_eur": currency, "country": country, "email": email, "category": category}.get(field, text)
+    return t.keep(rule(c, t))
 
 
 def shown_original(c: Column) -> Column:

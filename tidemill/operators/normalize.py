@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.contracts import FIELDS, FLAGS, PROVENANCE
-from ..functions.rules import field_rule, shown_original
+from ..functions.rules import Steps, fenced, field_rule, layered, shown_original
 
 
 def _present(entries: list[Column]) -> Column:
@@ -23,10 +23,13 @@ def _present(entries: list[Column]) -> Column:
 def normalize(cells: DataFrame, role: str) -> DataFrame:
     """Every field by its rule. A missing field column counts as null cells."""
     fields = FIELDS[role]
-    frame = cells.select(*PROVENANCE, *fields, *(field_rule(f, F.col(f)).alias(f"_r_{f}") for f in fields))
+    steps = [Steps(f"_{f}") for f in fields]
+    outcome = {f: field_rule(f, F.col(f), t) for f, t in zip(fields, steps)}
+    frame = layered(cells.select(*PROVENANCE, *fields), steps)
+    frame = frame.select(*PROVENANCE, *(outcome[f].alias(f"_r_{f}") for f in fields), *(shown_original(F.col(f)).alias(f"raw_{f}") for f in fields))
     events, issues = [], []
     for f in fields:
-        r, original = F.col(f"_r_{f}"), shown_original(F.col(f))
+        r, original = F.col(f"_r_{f}"), F.col(f"raw_{f}")
         events.append(
             F.when(
                 r["event"].isNotNull(),
@@ -46,13 +49,14 @@ def normalize(cells: DataFrame, role: str) -> DataFrame:
                 ),
             )
         )
-    return frame.select(
+    out = frame.select(
         *PROVENANCE,
         *(F.col(f"_r_{f}")["value"].alias(f) for f in fields),
-        *(shown_original(F.col(f)).alias(f"raw_{f}") for f in fields),
+        *(f"raw_{f}" for f in fields),
         _present(events).alias("events"),
         _present(issues).alias("issues"),
     )
+    return fenced(out, *fields, "events", "issues")
 
 
 def evidence_rows(normalized: DataFrame, role: str, kind: str) -> DataFrame:

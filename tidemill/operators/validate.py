@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.contracts import AS_OF, FIELDS, HARD, KEY, PROVENANCE, RANK
+from ..functions.rules import fenced
 from .dedupe import resolve
 
 _REF = "struct<file string, sheet string, row int>"
@@ -81,7 +82,7 @@ def prepare_reference(normalized: DataFrame, role: str, as_of: str = AS_OF) -> D
     code = F.when(F.size(F.filter("issues", lambda x: x["field"] == key)) > 0, key_issue)
     if role == "products":
         code = F.coalesce(code, F.when(has_issue("unit_price_eur") | F.col("unit_price_eur").startswith("-"), "INVALID_UNIT_PRICE"))
-    frame = normalized.withColumn("_code", code)
+    frame = fenced(normalized.withColumn("_code", code), "_code")
     where = F.when(F.col("_code") == "INVALID_UNIT_PRICE", "unit_price_eur").otherwise(key)
     value = F.when(F.col("_code") == "INVALID_UNIT_PRICE", F.col("unit_price_eur")).otherwise(F.col(key)) if role == "products" else F.col(key)
     shut = evidence(2, F.col("_code"), where, F.lit("VALIDATION_FAILURE"), F.concat(F.lit("Reference row excluded: "), hard_reason(F.col("_code"), where, F.coalesce(value, F.lit("")), as_of)), value)
@@ -117,7 +118,7 @@ def unknown_references(rows: DataFrame, customers: DataFrame, products: DataFram
 
 def checked(normalized: DataFrame, as_of: str = AS_OF) -> DataFrame:
     """Sales rows with `failures`."""
-    return normalized.withColumn("failures", hard_failures(as_of))
+    return fenced(normalized.withColumn("failures", hard_failures(as_of)), "failures")
 
 
 def dispose(normalized: DataFrame, customers: DataFrame, products: DataFrame, as_of: str = AS_OF) -> DataFrame:
