@@ -112,6 +112,29 @@ def ledger(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     return measured(docs, id_col=id_col, text_col=text_col).withColumn("failed_rules", failure_bits())
 
 
+def keep(docs: DataFrame, policy: str = "v1", *, text_col: str = "text") -> DataFrame:
+    """docs (every column, as they are) without the documents that the policy rejects.
+
+    Texts are measured where they lie: no shuffle and no join. Columns may have any names,
+    those of measures too.
+    """
+    names = docs.columns
+    held = [f"c{i}" for i in range(len(names))]
+    at = names.index(text_col)
+    source = docs.toDF(*held)
+    schema = T.StructType([*source.schema, *(T.StructField(m, T.LongType()) for m in MEASURES)])
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = zip(*(measure(x or "") for x in batch.column(at).to_pylist()))
+            return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in found)], names=schema.names)
+
+        return step
+
+    rows = map_arrow(source, make, schema).withColumn("failed_rules", failure_bits())
+    return rows.where(~rejects(policy)).select(*(F.col(h).alias(n) for h, n in zip(held, names)))
+
+
 def rejects(policy: str) -> Column:
     """True for ledger rows that the policy rejects."""
     return F.col("failed_rules").bitwiseAND(F.lit(mask(policy))) != 0

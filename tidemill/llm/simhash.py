@@ -319,3 +319,65 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, max_bits: int = 4, id_
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
     return rows.join(named, F.col("fp") == F.col("_fp"), "left").select(id_col, "fp", "component_id")
+
+
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles; fewer words make one, none make none."""
+    words = text.encode().lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    n = max(1, len(words) - shingle + 1)
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)]), np.uint64))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard of two sorted distinct arrays; two empty ones are equal."""
+    if not len(a) and not len(b):
+        return 1.0
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def keep_one(docs: DataFrame, *, shingle: int = 5, max_bits: int = 6, least: float = 0.8, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs (every column) with one document of each near-duplicate group.
+
+    Groups are components of fingerprints; in each, the smallest id stays and those go whose
+    Jaccard similarity to it, over distinct shingles, is at least `least`. What is left of a
+    group elects again, `rounds` times; what no election reached stays, so no document goes
+    that is not similar to one that is kept. Rows of equal id count once and are told apart
+    by nothing: one stays. Documents without an id stay.
+    """
+    named = docs.where(F.col(id_col).isNotNull())
+    found = written(near_duplicates(named, shingle=shingle, max_bits=max_bits, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("id"), F.col("component_id").alias("c")), "groups")
+    groups = written(found.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c"), "large-groups")
+    members = found.join(groups, "c").distinct()
+    texts = named.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(members, "id")
+    schema = T.StructType([texts.schema["id"], texts.schema["c"], T.StructField("s", T.BinaryType())])
+
+    def sets():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=schema.names)
+
+        return step
+
+    live = written(map_arrow(texts, sets, schema), "shingle-sets").dropDuplicates(["id"])
+    judged = T.StructType([*schema, T.StructField("near", T.BooleanType())])
+
+    def judge():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            near = [similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= least for a, b in pairs]
+            return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(near, pa.bool_())], names=judged.names)
+
+        return step
+
+    gone = None
+    for _ in range(rounds):
+        first = written(live.groupBy("c").agg(F.min("id").alias("id")).join(live.select("id", "s"), "id").select(F.col("c").alias("k"), F.col("id").alias("first"), F.col("s").alias("t")), "elected")
+        rest = live.join(first, F.col("c") == F.col("k")).where("id <> first").select("id", "c", "s", "t")
+        rest = written(map_arrow(rest, judge, judged), "judged")
+        near = rest.where("near").select("id")
+        gone = near if gone is None else gone.unionByName(near)
+        live = rest.where("not near").drop("near")
+    left = named.join(gone.select(F.col("id").alias(id_col)), id_col, "left_anti").dropDuplicates([id_col])
+    return left.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

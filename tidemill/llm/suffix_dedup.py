@@ -28,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -377,6 +378,19 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, i
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate((id_col, *carry))), "n_bytes", "n_removed", "n_spans", "kept", "spans")
 
 
-def text_of(kept: pa.Array) -> list[str]:
-    """Kept bytes as texts, without the remains of characters that were cut."""
-    return [x.decode(errors="ignore") for x in kept.to_pylist()]
+def without_repeats(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
+    """docs (every column) with repeated passages cut from the texts, and size_col their new length.
+
+    What is left of a character that a span has cut goes too. Every document stays.
+    """
+    rows = remove_repeats(docs, length=length, id_col=id_col, text_col=text_col, carry=tuple(c for c in docs.columns if c != id_col))
+    text = F.decode(_whole_characters("kept"), "UTF-8")
+    out = {c: F.col(c) for c in docs.columns} | {text_col: F.when(F.col(text_col).isNotNull(), text)}
+    if size_col in docs.columns:
+        out[size_col] = F.length(text).cast("long")
+    return rows.select(*(x.alias(c) for c, x in out.items()))
+
+
+@F.pandas_udf(T.BinaryType())
+def _whole_characters(kept: pd.Series) -> pd.Series:
+    return kept.map(lambda x: x.decode(errors="ignore").encode())
