@@ -25,10 +25,14 @@ from .contracts import CATEGORIES, COUNTRIES, MONTH_NAMES
 CELL = T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "text", "norm", "whole", "plain")])
 #: White space as Python sees it: Unicode's, and U+001C to U+001F.
 _WS = r"[\s\x1c-\x1f]"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 IDENTIFIER = r"\A[A-Z0-9][A-Z0-9_-]{0,63}\z"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 EMAIL = rf"(?U)\A[^@\s\x1c-\x1f]+@{_LABEL}(?:\.{_LABEL})+\z"
-_NULL = F.lit(None).cast("string")
+
+
+def _null() -> Column:
+    return F.lit(None).cast("string")
 
 
 class Steps:
@@ -77,21 +81,25 @@ def text_cell(c: Column, ascii_only: bool = False) -> Column:
     """A string column as cells. ascii_only: the caller knows that NFC changes nothing."""
     kind = F.when(c.isNull(), "null").otherwise("str")
     norm = c if ascii_only else F.when(c.rlike(r"\A[\x00-\x7F]*\z"), c).otherwise(nfc(c))
-    return F.struct(kind.alias("kind"), c.alias("text"), norm.alias("norm"), _NULL.alias("whole"), _NULL.alias("plain"))
+    return F.struct(kind.alias("kind"), c.alias("text"), norm.alias("norm"), _null().alias("whole"), _null().alias("plain"))
 
 
 def strip(x: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(x, rf"(?U)\A{_WS}+|{_WS}+\z", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def clean(c: Column) -> Column:
     """Stripped, runs of white space one space, empty as null."""
-    x = F.trim(F.regexp_replace(c["norm"], rf"(?U){_WS}+", " "))
-    return F.when(x != "", x)
+    x = c["norm"]
+    # most texts need no pattern: no space after a space, and nothing but printable ASCII
+    plain = ~x.contains("  ") & ~x.rlike(r"[^ -~]")
+    x = F.when(plain, F.trim(x)).otherwise(F.trim(F.regexp_replace(x, rf"(?U){_WS}+", " ")))
+    return F.nullif(x, F.lit(""))
 
 
-def _result(value: Column, event: Column = _NULL, issue: Column = _NULL, reason: Column = _NULL) -> Column:
+def _result(value: Column, event: Column | None = None, issue: Column | None = None, reason: Column | None = None) -> Column:
+    event, issue, reason = (_null() if x is None else x for x in (event, issue, reason))
     return F.struct(value.alias("value"), event.alias("event"), issue.alias("issue"), F.when(issue.isNotNull(), reason).alias("reason"))
 
 
@@ -158,14 +166,14 @@ def currency(c: Column, t: Steps) -> Column:
     kind, shown = c["kind"], t.keep(strip(c["norm"]))
     number = kind.isin("int", "float")
     before, after = shown.rlike(r"(?i)\AEUR"), shown.rlike(r"(?i)EUR\z")
-    bare = t.keep(F.when(before & after, _NULL).when(before, strip(F.substr(shown, F.lit(4)))).when(after, strip(F.regexp_replace(shown, r"(?i)EUR\z", ""))).otherwise(shown))
+    bare = t.keep(F.when(before & after, _null()).when(before, strip(F.substr(shown, F.lit(4)))).when(after, strip(F.regexp_replace(shown, r"(?i)EUR\z", ""))).otherwise(shown))
     amount = t.keep(F.regexp_replace(bare, r"\A[+-]", ""))
     plain = F.lit(None).cast("string")
     for form, drop, point in reversed(_AMOUNTS):
         turned = F.translate(amount, drop, "") if drop else amount
         turned = F.replace(turned, F.lit(point), F.lit(".")) if point else turned
         plain = F.when(amount.rlike(rf"\A(?:{form})\z"), turned).otherwise(plain)
-    unsigned = t.keep(F.when(number, F.regexp_replace(c["plain"], r"\A-", "")).when(kind == "bool", _NULL).otherwise(plain))
+    unsigned = t.keep(F.when(number, F.regexp_replace(c["plain"], r"\A-", "")).when(kind == "bool", _null()).otherwise(plain))
     negative = F.when(number, c["plain"].startswith("-")).otherwise(bare.startswith("-"))
     whole = F.regexp_replace(F.substring_index(unsigned, ".", 1), r"\A0+(?=[0-9])", "")
     part = t.keep(F.when(F.instr(unsigned, ".") > 0, F.substring_index(unsigned, ".", -1)).otherwise(""))

@@ -3,8 +3,8 @@
 Input: provenance columns and one cell (see functions.rules) for each field. Output: the
 provenance, each field's value as a string, raw_<field> as evidence prints it, and two arrays
 on the row itself, so that no later step has to join evidence to rows:
-events STRUCT<field, code, original, cleaned, message> and
-issues STRUCT<field, code, action, original, value, reason, message>.
+events STRUCT<field, code, original, cleaned> and issues STRUCT<field, code, action, original,
+value, reason>. Sentences are made where evidence becomes rows.
 """
 
 from __future__ import annotations
@@ -21,7 +21,14 @@ def _present(entries: list[Column]) -> Column:
 
 
 def normalize(cells: DataFrame, role: str) -> DataFrame:
-    """Every field by its rule. A missing field column counts as null cells."""
+    """Every field by its rule.
+
+    Lowers the session's hugeMethodLimit to what the JIT compiles: one generated method for
+    all rules would otherwise run interpreted.
+    """
+    conf, limit = cells.sparkSession.conf, "spark.sql.codegen.hugeMethodLimit"
+    if int(conf.get(limit, "65535")) > 8000:
+        conf.set(limit, "8000")
     fields = FIELDS[role]
     steps = [Steps(f"_{f}") for f in fields]
     outcome = {f: field_rule(f, F.col(f), t) for f, t in zip(fields, steps)}
@@ -35,7 +42,6 @@ def normalize(cells: DataFrame, role: str) -> DataFrame:
                 r["event"].isNotNull(),
                 F.struct(
                     F.lit(f).alias("field"), r["event"].alias("code"), original.alias("original"), F.coalesce(r["value"], F.lit("")).alias("cleaned"),
-                    F.concat(F.lit(f"Normalized {f} using "), r["event"], F.lit(".")).alias("message"),
                 ),
             )
         )
@@ -45,7 +51,6 @@ def normalize(cells: DataFrame, role: str) -> DataFrame:
                 F.struct(
                     F.lit(f).alias("field"), r["issue"].alias("code"), F.when(r["issue"].isin(*FLAGS), "FLAG").otherwise("VALIDATION_FAILURE").alias("action"),
                     original.alias("original"), F.coalesce(r["value"], F.lit("")).alias("value"), r["reason"].alias("reason"),
-                    F.concat(r["issue"], F.lit(f" for {f}: "), r["reason"], F.lit(".")).alias("message"),
                 ),
             )
         )
@@ -61,7 +66,18 @@ def normalize(cells: DataFrame, role: str) -> DataFrame:
 
 def evidence_rows(normalized: DataFrame, role: str, kind: str) -> DataFrame:
     """The events or issues of a frame, one row each, with role and provenance."""
-    return normalized.select(F.lit(role).alias("record_type"), *PROVENANCE, F.explode(kind).alias("e")).select("record_type", *PROVENANCE, "e.*")
+    said = event_message if kind == "events" else issue_message
+    return normalized.select(F.lit(role).alias("record_type"), *PROVENANCE, F.explode(kind).alias("e")).select("record_type", *PROVENANCE, "e.*", said(F.col("e")).alias("message"))
+
+
+def event_message(e: Column) -> Column:
+    """The sentence of a normalization event."""
+    return F.concat(F.lit("Normalized "), e["field"], F.lit(" using "), e["code"], F.lit("."))
+
+
+def issue_message(e: Column) -> Column:
+    """The sentence of a normalization defect."""
+    return F.concat(e["code"], F.lit(" for "), e["field"], F.lit(": "), e["reason"], F.lit("."))
 
 
 def summary(frames: dict[str, DataFrame]) -> dict[str, object]:

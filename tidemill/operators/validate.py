@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.contracts import AS_OF, FIELDS, HARD, KEY, PROVENANCE, RANK
 from ..functions.rules import fenced
+from ..functions.work import written
 from .dedupe import resolve
 
 _REF = "struct<file string, sheet string, row int>"
@@ -68,7 +69,7 @@ def hard_failures(as_of: str = AS_OF) -> Column:
         ("FUTURE_ORDER_DATE", "order_date", F.col("order_date") > as_of),  # ISO text sorts as dates do
     )
     business = F.filter(F.array(*(F.when(~has_issue(f) & broken, entry(F.lit(code), F.lit(f), F.col(f), "BUSINESS_RULE")) for code, f, broken in rules)), lambda x: x.isNotNull())
-    return F.array_sort(F.concat(found, business))
+    return F.sort_array(F.concat(found, business))
 
 
 def _quoted(x: Column) -> Column:
@@ -82,7 +83,7 @@ def prepare_reference(normalized: DataFrame, role: str, as_of: str = AS_OF) -> D
     code = F.when(F.size(F.filter("issues", lambda x: x["field"] == key)) > 0, key_issue)
     if role == "products":
         code = F.coalesce(code, F.when(has_issue("unit_price_eur") | F.col("unit_price_eur").startswith("-"), "INVALID_UNIT_PRICE"))
-    frame = fenced(normalized.withColumn("_code", code), "_code")
+    frame = written(fenced(normalized.withColumn("_code", code), "_code"), "reference")
     where = F.when(F.col("_code") == "INVALID_UNIT_PRICE", "unit_price_eur").otherwise(key)
     value = F.when(F.col("_code") == "INVALID_UNIT_PRICE", F.col("unit_price_eur")).otherwise(F.col(key)) if role == "products" else F.col(key)
     shut = evidence(2, F.col("_code"), where, F.lit("VALIDATION_FAILURE"), F.concat(F.lit("Reference row excluded: "), hard_reason(F.col("_code"), where, F.coalesce(value, F.lit("")), as_of)), value)
@@ -100,7 +101,7 @@ def prepare_reference(normalized: DataFrame, role: str, as_of: str = AS_OF) -> D
         F.when(status == "DUPLICATE", F.col("survivor")).cast(_REF).alias("survivor"),
         F.when(status == "SURVIVOR", F.array().cast(EVIDENCE)).when(status == "DUPLICATE", F.array(twin).cast(EVIDENCE)).otherwise(F.array(clash).cast(EVIDENCE)).alias("evidence"),
     )
-    return refused.unionByName(decided).withColumn("primary_rule_code", F.get("rule_codes", F.lit(0)))
+    return written(refused.unionByName(decided).withColumn("primary_rule_code", F.get("rule_codes", F.lit(0))), "prepared")
 
 
 def usable(prepared: DataFrame) -> DataFrame:
@@ -123,13 +124,14 @@ def checked(normalized: DataFrame, as_of: str = AS_OF) -> DataFrame:
 
 def dispose(normalized: DataFrame, customers: DataFrame, products: DataFrame, as_of: str = AS_OF) -> DataFrame:
     """Sales rows with disposition, rule_codes, primary_rule_code, survivor and evidence."""
-    rows, kept = checked(normalized, as_of), normalized.columns
+    # three branches read the checked rows, two the resolved ones: both are written once
+    rows, kept = written(checked(normalized, as_of), "checked"), normalized.columns
     nobody = F.lit(None).cast(_REF).alias("survivor")
     hard = rows.where(F.size("failures") > 0).select(
         *kept, F.lit("QUARANTINED").alias("disposition"), F.transform("failures", lambda x: x["code"]).alias("rule_codes"), nobody,
         F.transform("failures", lambda x: evidence(0, x["code"], x["field"], F.lit("VALIDATION_FAILURE"), x["reason"], x["value"])).cast(EVIDENCE).alias("evidence"),
     )
-    rest = resolve(rows.where(F.size("failures") == 0).select(*kept), "order_id", list(FIELDS["sales"]))
+    rest = written(resolve(rows.where(F.size("failures") == 0).select(*kept), "order_id", list(FIELDS["sales"])), "resolved")
     order = _quoted(F.col("order_id"))
     twin = evidence(1, F.lit("DUPLICATE_EXACT"), F.lit("order_id"), F.lit("DEDUPLICATION"), F.concat(F.lit("Identical transaction copy of "), order, F.lit("; the first source-order row is retained.")), related=F.col("survivor"))
     clash = evidence(1, F.lit("DUPLICATE_KEY_CONFLICT"), F.lit("order_id"), F.lit("VALIDATION_FAILURE"), F.concat(F.lit("Conflicting business facts for "), order, F.lit("; every group member is quarantined.")))

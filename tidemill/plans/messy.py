@@ -56,13 +56,19 @@ FROM (
   JOIN (SELECT 'a-' AS prefix, 0 AS again UNION ALL SELECT 'b-' AS prefix, 1 AS again) x ON x.again = 0 OR l_orderkey % 61 = 0
 ) t
 """
-_CUSTOMERS = """
+# names from four independent parts of the key; a few repeat a neighbour's with one letter more
+_FIRST = "Ada,Bruno,Carmen,Dieter,Elodie,Fabien,Greta,Hugo,Ingrid,Joana,Karim,Louise,Marek,Nadia,Oskar,Petra,Quentin,Rosa,Stefan,Ursula"
+_PART = "bar,nel,sto,kim,dur,vix,ghu,pel,tor,lam,zen,qua,mis,fro,hyd,wel,jos,cri,ova,ebb"
+_NAME = " || ".join(
+    [f"split_part('{_FIRST}', ',', CAST(g % 20 AS INT) + 1)", "' '", *(f"split_part('{_PART}', ',', CAST(floor(g / {d}) % 20 AS INT) + 1)" for d in (20, 400, 8000)), "CASE WHEN k % 97 = 0 THEN 'e' ELSE '' END"]
+)
+_CUSTOMERS = f"""
 SELECT concat('customers-', prefix) AS _source_file, 'customers' AS _source_sheet, CAST(k + 2 AS INT) AS _source_row,
   CASE WHEN k % 101 = 0 THEN '' WHEN k % 103 = 0 THEN concat('C ', CAST(k AS STRING)) WHEN k % 11 = 0 THEN concat(' c', CAST(k AS STRING)) ELSE concat('C', CAST(k AS STRING)) END AS customer_id,
   CASE WHEN k % 13 = 0 THEN concat(' ', c_name, '  ') WHEN k % 107 = 0 THEN '  ' WHEN k % 109 = 0 AND prefix = 'b' THEN concat(c_name, ' II') ELSE c_name END AS customer_name,
   CASE WHEN k % 17 = 0 THEN concat('user', CAST(k AS STRING), '.example.test') WHEN k % 5 = 0 THEN concat(' User', CAST(k AS STRING), '@Mail.EXAMPLE.test') ELSE concat('user', CAST(k AS STRING), '@mail.example.test') END AS email,
   CASE k % 5 WHEN 0 THEN 'FR' WHEN 1 THEN 'france' WHEN 2 THEN ' FRA' WHEN 3 THEN 'Atlantis' ELSE '' END AS country
-FROM (SELECT x.prefix, c_custkey AS k, c_name FROM customer JOIN (SELECT 'a' AS prefix, 0 AS again UNION ALL SELECT 'b' AS prefix, 1 AS again) x ON x.again = 0 OR c_custkey % 59 = 0 OR c_custkey % 109 = 0) t
+FROM (SELECT prefix, k, {_NAME} AS c_name FROM (SELECT x.prefix, c_custkey AS k, CASE WHEN c_custkey % 97 = 0 THEN c_custkey + 1 ELSE c_custkey END AS g FROM customer JOIN (SELECT 'a' AS prefix, 0 AS again UNION ALL SELECT 'b' AS prefix, 1 AS again) x ON x.again = 0 OR c_custkey % 59 = 0 OR c_custkey % 109 = 0) u) t
 """
 _PRODUCTS = f"""
 SELECT concat('products-', prefix) AS _source_file, '' AS _source_sheet, CAST(k + 2 AS INT) AS _source_row,
