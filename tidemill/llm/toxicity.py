@@ -162,12 +162,16 @@ class _Trainer:
             s[at_rows] += g * g
             x[at_rows] -= rate * g / np.sqrt(s[at_rows])
 
-    def run(self, first: int, then: int, batch: int = 512) -> Model:
-        """`first` epochs on all windows, then `then` epochs on each document's likeliest window."""
+    def run(self, first: int, then: int) -> Model:
+        """`first` epochs on all windows, then `then` epochs on each document's likeliest window.
+
+        Batches shrink with the sample, so that a small one takes enough steps.
+        """
         pos, neg = np.flatnonzero(self.label == 1), np.flatnonzero(self.label == 0)
         for _ in range(first):
             some = self.rng.choice(neg, min(len(neg), len(pos)), replace=False)
             order = self.rng.permutation(np.concatenate([pos, some]))
+            batch = max(16, min(512, len(order) // 24))
             for i in range(0, len(order), batch):
                 self.step(order[i : i + batch], 0.3)
         vocab_part = np.repeat(np.arange(len(self.ngram_at) - 1), np.diff(self.ngram_at))
@@ -180,6 +184,7 @@ class _Trainer:
             best = np.lexsort((-logit, self.doc))
             top = best[np.append(True, np.diff(self.doc[best]) > 0)]
             order = self.rng.permutation(top)
+            batch = max(16, min(512, len(order) // 12))
             for i in range(0, len(order), batch):
                 self.step(order[i : i + batch], 0.2)
         return self.m
