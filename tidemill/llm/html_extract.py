@@ -75,6 +75,12 @@ def _dropped(tag: str, attrs: str, inside: bool) -> bool:
 
 def lines_of(page: str) -> tuple[list[str], bool]:
     """The page's lines in order, and whether they are those of an article it names."""
+    lines, own, _ = parts_of(page)
+    return lines, own
+
+
+def parts_of(page: str) -> tuple[list[str], bool, list[str]]:
+    """lines_of(), and the lines in and around the article: what a neighbour is compared with."""
     blocks: list[tuple[int, str]] = []  # 2: in an article, 1: in main, 0: elsewhere
     stack: list[tuple[str, bool, int]] = []  # tag, dropped from here on, container
     run: list[str] = []
@@ -133,7 +139,7 @@ def lines_of(page: str) -> tuple[list[str], bool]:
         run.append(page[at:])
     flush()
     top = max((k for k, _ in blocks), default=0)
-    return [t for k, t in blocks if k == top], top > 0
+    return [t for k, t in blocks if k == top], top > 0, [t for _, t in blocks]
 
 
 def shared_lines(a: list[int], b: list[int]) -> list[bool]:
@@ -198,9 +204,9 @@ def parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = [lines_of(x) for x in batch.column(5).to_pylist()]
-            lines = pa.array([None if own else x for x, own in got], pa.list_(pa.string()))
-            return pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([y for _, y in got]), lines, pa.array([mark(x) for x, _ in got], pa.list_(pa.int64()))], names=schema.names)
+            got = [parts_of(x) for x in batch.column(5).to_pylist()]
+            lines = pa.array([None if own else x for x, own, _ in got], pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([y for _, y, _ in got]), lines, pa.array([mark(x) for _, _, x in got], pa.list_(pa.int64()))], names=schema.names)
 
         return step
 
