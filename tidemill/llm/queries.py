@@ -137,6 +137,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_ledger": op9_quality_ledger,
     "op10_warc": op10_warc,
 }
-
-#: DuckDB SQL where SQL can express the whole operator.
-ORACLE_SQL: dict[str, str] = {}
