@@ -1,0 +1 @@
+"""Micro-batch runs of the cleansing engine."""
