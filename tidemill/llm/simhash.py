@@ -38,11 +38,14 @@ PROBE_COST = 4
 BLOCK = 1 << 18
 
 
-def fingerprint(text: str, shingle: int) -> bytes:
-    """Eight bytes, the highest bit first: set where over half of the shingles' hashes have it."""
+def fingerprint(text: str, shingle: int, mixes: int = 1) -> bytes:
+    """Eight bytes, the highest bit first: set where over half of the shingles' hashes have it.
+
+    mixes > 1 appends fingerprints of the same shingles under further, mixed hashes.
+    """
     words = text.encode().lower().split()  # A-Z only; cuts at space and U+0009..U+000D
     if not words:
-        return bytes(8)
+        return bytes(8 * mixes)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.append(0, ends[:-1] + 1)
@@ -50,8 +53,20 @@ def fingerprint(text: str, shingle: int) -> bytes:
     last = ends[min(shingle, len(words)) - 1 :]
     digest = xxhash.xxh64_digest
     hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist())])
-    total = np.zeros(BITS, np.int64)
-    rows = np.frombuffer(hashes, np.uint8).reshape(n, 8)
+    out = []
+    for mix in range(mixes):
+        rows = np.frombuffer(hashes, np.uint8).reshape(n, 8)
+        if mix:
+            h = (rows.view(np.uint64).ravel() + np.uint64(mix)) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            rows = (h ^ (h >> np.uint64(29))).view(np.uint8).reshape(n, 8)
+        out.append(_majority(rows))
+    return b"".join(out)
+
+
+def _majority(rows: np.ndarray) -> bytes:
+    """The bits that over half of the rows of eight bytes have."""
+    n, total = len(rows), np.zeros(BITS, np.int64)
     for i in range(0, n, 255 * 256):
         bits = np.unpackbits(rows[i : i + 255 * 256], axis=1)
         whole = len(bits) // 255 * 255
@@ -60,15 +75,16 @@ def fingerprint(text: str, shingle: int) -> bytes:
     return np.packbits(2 * total > n).tobytes()
 
 
-def fingerprints(docs: DataFrame, *, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long) of every whole text; fp's bits are the fingerprint's, as a signed long."""
+def fingerprints(docs: DataFrame, *, shingle: int = 5, mixes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp long, fp1, ...) of every whole text; bits are the fingerprint's, as a signed long."""
     texts = texts_of(docs, id_col, text_col)
-    schema = T.StructType([texts.schema[0], T.StructField("fp", T.LongType())])
+    schema = T.StructType([texts.schema[0], *(T.StructField(f"fp{i or ''}", T.LongType()) for i in range(mixes))])
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            raw = b"".join(fingerprint(t, shingle) for t in batch.column(1).to_pylist())
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(raw, ">i8").astype(np.int64))], names=schema.names)
+            raw = b"".join(fingerprint(t, shingle, mixes) for t in batch.column(1).to_pylist())
+            fps = np.frombuffer(raw, ">i8").astype(np.int64).reshape(-1, mixes)
+            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, i]) for i in range(mixes))], names=schema.names)
 
         return step
 
@@ -311,7 +327,11 @@ def links(nodes: DataFrame, max_bits: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp long, component_id): the smallest id that links of at most max_bits bits reach."""
-    rows = written(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "fingerprints")
+    return grouped(written(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "fingerprints"), max_bits, id_col)
+
+
+def grouped(rows: DataFrame, max_bits: int, id_col: str) -> DataFrame:
+    """(id, fp, component_id) of written (id, fp) rows."""
     nodes = rows.groupBy("fp").agg(F.min(id_col).alias("least"))
     nodes = written(nodes, "nodes")
     roots = components(links(nodes, max_bits))
@@ -338,19 +358,26 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def keep_one(docs: DataFrame, *, shingle: int = 5, max_bits: int = 6, least: float = 0.8, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, *, shingle: int = 5, max_bits: int = 6, mixes: int = 3, least: float = 0.8, rounds: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs (every column) with one document of each near-duplicate group.
 
-    Groups are components of fingerprints; in each, the smallest id stays and those go whose
-    Jaccard similarity to it, over distinct shingles, is at least `least`. What is left of a
-    group elects again, `rounds` times; what no election reached stays, so no document goes
-    that is not similar to one that is kept. Rows of equal id count once and are told apart
-    by nothing: one stays. Documents without an id stay.
+    Groups are components of the links of several independent fingerprints: a pair that one
+    of them holds too far apart is likely to be met by another. In each group the smallest id
+    stays and those go whose Jaccard similarity to it, over distinct shingles, is at least
+    `least`. What is left of a group elects again, up to `rounds` times; what no election
+    reached stays, so no document goes that is not similar to one that is kept. Rows of
+    equal id count once and are told apart by nothing: one stays. Documents without an id
+    stay.
     """
     named = docs.where(F.col(id_col).isNotNull())
-    found = written(near_duplicates(named, shingle=shingle, max_bits=max_bits, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("id"), F.col("component_id").alias("c")), "groups")
-    groups = written(found.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c"), "large-groups")
-    members = found.join(groups, "c").distinct()
+    prints = written(fingerprints(named, shingle=shingle, mixes=mixes, id_col=id_col, text_col=text_col), "fingerprints")
+    edges = None
+    for i in range(mixes):
+        one = grouped(prints.select(id_col, F.col(f"fp{i or ''}").alias("fp")), max_bits, id_col)
+        one = one.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("a"), F.col("component_id").alias("b"))
+        edges = one if edges is None else edges.unionByName(one)
+    found = components(edges)
+    members = found.select(F.col("node").alias("id"), F.col("root").alias("c")).unionByName(found.select(F.col("root").alias("id"), F.col("root").alias("c"))).distinct()
     texts = named.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(members, "id")
     schema = T.StructType([texts.schema["id"], texts.schema["c"], T.StructField("s", T.BinaryType())])
 
@@ -371,13 +398,14 @@ def keep_one(docs: DataFrame, *, shingle: int = 5, max_bits: int = 6, least: flo
 
         return step
 
-    gone = None
+    gone = live.select("id").limit(0)
     for _ in range(rounds):
+        if live.head() is None:
+            break
         first = written(live.groupBy("c").agg(F.min("id").alias("id")).join(live.select("id", "s"), "id").select(F.col("c").alias("k"), F.col("id").alias("first"), F.col("s").alias("t")), "elected")
         rest = live.join(first, F.col("c") == F.col("k")).where("id <> first").select("id", "c", "s", "t")
         rest = written(map_arrow(rest, judge, judged), "judged")
-        near = rest.where("near").select("id")
-        gone = near if gone is None else gone.unionByName(near)
+        gone = gone.unionByName(rest.where("near").select("id"))
         live = rest.where("not near").drop("near")
     left = named.join(gone.select(F.col("id").alias(id_col)), id_col, "left_anti").dropDuplicates([id_col])
     return left.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
