@@ -225,3 +225,36 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, x) for x in range(101, 130)] + [(129, 39), (500, 500), (None, 3), (201, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: 1 for n in [*range(2, 41), *range(100, 130)]} | {201: 200} or {k: v for k, v in got.items() if k != v} == {n: 1 for n in [*range(2, 41), *range(100, 130)]} | {201: 200}
+
+
+def brute_similar(texts, shingle=5, least=0.8):
+    """Pairs of ids whose shingles have a Jaccard similarity of at least `least`."""
+    sets = {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))} if w else set()
+    ids = sorted(sets)
+    return {(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-9}
+
+
+def assert_kept(spark, texts):
+    got = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")).collect()}
+    near = brute_similar(texts)
+    assert not [p for p in near if p[0] in got and p[1] in got]
+    assert all(any(({a, b} - {x}) & got for a, b in near if x in (a, b)) for x in texts.keys() - got)
+    return got
+
+
+def test_components_of_hundreds_of_clusters_are_finished(spark):
+    rng = random.Random(5)
+    template, texts = [f"w{i}" for i in range(200)], {}
+    for v in range(200):
+        base = list(template)
+        for i, at in enumerate(rng.sample(range(200), 4)):
+            base[at] = f"v{v}x{i}"
+        for copy in range(3):
+            w = list(base)
+            if copy:
+                w[rng.randrange(200)] = f"c{v}x{copy}"
+            texts[v + 200 * copy] = " ".join(w)
+    assert len(assert_kept(spark, texts)) < 220

@@ -36,6 +36,8 @@ PROBES = (1, 1 + WIDTH, 1 + WIDTH + WIDTH * (WIDTH - 1) // 2)
 PROBE_COST = 4
 #: Pairs that are expanded at once; larger groups are searched from link to link.
 BLOCK = 1 << 18
+#: Texts that say which shingles are common, and how many of these are told apart.
+SAMPLE, COMMON = 1 << 14, 1 << 16
 
 
 def fingerprint(text: str, shingle: int, mixes: int = 1) -> bytes:
@@ -358,54 +360,185 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def keep_one(docs: DataFrame, *, shingle: int = 5, max_bits: int = 6, mixes: int = 3, least: float = 0.8, rounds: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs (every column) with one document of each near-duplicate group.
+def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that many of the (id, text) rows have, and counts from `SAMPLE` of the rows.
 
-    Groups are components of the links of several independent fingerprints: a pair that one
-    of them holds too far apart is likely to be met by another. In each group the smallest id
-    stays and those go whose Jaccard similarity to it, over distinct shingles, is at least
-    `least`. What is left of a group elects again, up to `rounds` times; what no election
-    reached stays, so no document goes that is not similar to one that is kept. Rows of
-    equal id count once and are told apart by nothing: one stays. Documents without an id
-    stay.
+    They only say which shingles prefixes take last; any order finds every pair.
     """
-    named = docs.where(F.col(id_col).isNotNull())
-    prints = written(fingerprints(named, shingle=shingle, mixes=mixes, id_col=id_col, text_col=text_col), "fingerprints")
-    edges = None
-    for i in range(mixes):
-        one = grouped(prints.select(id_col, F.col(f"fp{i or ''}").alias("fp")), max_bits, id_col)
-        one = one.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("a"), F.col("component_id").alias("b"))
-        edges = one if edges is None else edges.unionByName(one)
-    found = components(edges)
-    members = found.select(F.col("node").alias("id"), F.col("root").alias("c")).unionByName(found.select(F.col("root").alias("id"), F.col("root").alias("c"))).distinct()
-    texts = named.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(members, "id")
-    schema = T.StructType([texts.schema["id"], texts.schema["c"], T.StructField("s", T.BinaryType())])
+    schema = T.StructType([T.StructField("h", T.LongType())])
+    every = max(1, -(-texts.count() // SAMPLE))
+
+    def cut():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
+
+        return step
+
+    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
+    counts = map_arrow(sample, cut, schema).groupBy("h").agg(F.count("*").alias("n")).where("n > 3").orderBy(F.desc("n"), "h").limit(COMMON)
+    rows = counts.collect()  # at most COMMON rows
+    hashes, n = (np.array([r[c] for r in rows], np.int64) for c in ("h", "n"))
+    order = np.argsort(hashes.view(np.uint64))
+    return hashes.view(np.uint64)[order], n[order]
+
+
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first shingles in the order (count, hash), so many that sets as similar as `least` share one.
+
+    A text without words has the one entry 0.
+    """
+    if not len(shingles):
+        return np.zeros(1, np.uint64)
+    at = np.searchsorted(common[0], shingles)
+    count = np.zeros(len(shingles), np.int64)
+    inside = at < len(common[0])
+    known = inside.copy()
+    known[inside] = common[0][at[inside]] == shingles[inside]
+    count[known] = common[1][at[known]]
+    need = int(np.ceil(least * len(shingles) - 1e-9))
+    return shingles[np.lexsort((shingles, count))][: len(shingles) - need + 1]
+
+
+def prefixes(texts: DataFrame, shingle: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(h, id, n, at): every text's prefix shingles with their places, and how many shingles it has."""
+    sent = texts.sparkSession.sparkContext.broadcast(common)  # at most COMMON entries
+    schema = T.StructType([T.StructField("h", T.LongType()), texts.schema["id"], T.StructField("n", T.IntegerType()), T.StructField("at", T.IntegerType())])
+
+    def cut():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+            firsts = [prefix(x, sent.value, least) for x in sets]
+            many = [len(x) for x in firsts]
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(sets)), many)))
+            places = np.concatenate([np.arange(m, dtype=np.int32) for m in many])
+            sizes = np.repeat(np.array([len(x) for x in sets], np.int32), many)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), ids, pa.array(sizes), pa.array(places)], names=schema.names)
+
+        return step
+
+    return map_arrow(texts, cut, schema)
+
+
+def candidate_pairs(rows: DataFrame, others: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: ids of prefix rows that meet others at a place from which `least` can be reached."""
+    x = rows.select("h", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("at").alias("xat"))
+    y = others.select("h", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("at").alias("yat"))
+    reach = F.least(F.col("xn") - F.col("xat"), F.col("yn") - F.col("yat"))  # holds for the first shingle a pair shares
+    need = (F.col("xn") + F.col("yn")) * (least / (1 + least)) - 1e-9
+    met = x.join(y, "h").where((F.col("x") != F.col("y")) & (reach >= need) & (F.least("xn", "yn") >= F.greatest("xn", "yn") * least - 1e-9))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, s): the shingle set of each id."""
+    schema = T.StructType([texts.schema["id"], T.StructField("s", T.BinaryType())])
 
     def sets():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=schema.names)
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=schema.names)
 
         return step
 
-    live = written(map_arrow(texts, sets, schema), "shingle-sets").dropDuplicates(["id"])
-    judged = T.StructType([*schema, T.StructField("near", T.BooleanType())])
+    return map_arrow(texts.select("id", "text"), sets, schema)
+
+
+def judged(rows: DataFrame, least: float) -> DataFrame:
+    """rows (..., s, t) with `near`, whether the sets s and t are as similar as `least`, for t."""
+    last = len(rows.columns) - 1
+    schema = T.StructType([*rows.schema[:last], T.StructField("near", T.BooleanType())])
 
     def judge():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            near = [similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= least for a, b in pairs]
-            return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(near, pa.bool_())], names=judged.names)
+            s, t = batch.column(last - 1).to_pylist(), batch.column(last).to_pylist()
+            near = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(s, t)]
+            return pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(near, pa.bool_())], names=schema.names)
 
         return step
 
-    gone = live.select("id").limit(0)
+    return map_arrow(rows, judge, schema)
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Those of the (a, b) pairs whose exact similarity is at least `least`."""
+    pairs = written(pairs, "candidates")
+    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = written(sets_of(texts.join(asked, "id"), shingle).dropDuplicates(["id"]), "candidate-sets")
+    left, right = sets.select(F.col("id").alias("a"), "s"), sets.select(F.col("id").alias("b"), F.col("s").alias("t"))
+    return judged(pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t"), least).where("near").select("a", "b")
+
+
+def beaten(edges: DataFrame) -> DataFrame:
+    """Ids that go so that no (win, lose) edge has both ends left and whoever goes has a winner that stays.
+
+    Whoever no edge beats stays, who loses to them goes, and so on until no edge is left.
+    """
+    edges, gone = written(edges, "edges"), None
+    none = edges.select(F.col("lose").alias("id")).limit(0)
+    while edges.head() is not None:
+        stay = edges.select(F.col("win").alias("id")).distinct().join(edges.select(F.col("lose").alias("id")), "id", "left_anti")
+        out = written(edges.join(stay, F.col("win") == F.col("id")).select(F.col("lose").alias("id")).distinct(), "beaten")
+        gone = out if gone is None else gone.unionByName(out)
+        for end in ("win", "lose"):
+            edges = edges.join(out.select(F.col("id").alias(end)), end, "left_anti")
+        edges = written(edges, "edges")
+    return none if gone is None else gone
+
+
+def keep_one(docs: DataFrame, *, shingle: int = 5, max_bits: int = 6, mixes: int = 3, least: float = 0.8, rounds: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs (every column) without near-duplicates: of what stays no two documents are as similar
+    as `least` (Jaccard over distinct shingles), and whatever goes is so similar to one that stays.
+
+    Large groups are thinned first: in each component of the links of several independent
+    fingerprints the smallest id is elected and those as similar to it as `least` go, for
+    `rounds` rounds. Of what is left, every pair as similar as `least` is found by exact
+    prefixes; in a pair the one that more have gone for stays, else the smaller id. Those who
+    had gone for an elected one that goes itself are taken back and compared again. Rows of
+    equal id count once and are told apart by nothing: one stays. Documents without an id
+    stay.
+    """
+    named = docs.where(F.col(id_col).isNotNull())
+    prints = written(fingerprints(named, shingle=shingle, mixes=mixes, id_col=id_col, text_col=text_col), "fingerprints")
+    edges = None
+    for i in range(mixes):
+        one = grouped(prints.select(id_col, F.col(f"fp{i or ''}").alias("fp")), max_bits, id_col)
+        one = one.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("a"), F.col("component_id").alias("b"))
+        edges = one if edges is None else edges.unionByName(one)
+    found = components(edges)
+    members = written(found.select(F.col("node").alias("id"), F.col("root").alias("c")).unionByName(found.select(F.col("root").alias("id"), F.col("root").alias("c"))).distinct(), "members")
+    texts = named.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    live = written(sets_of(texts.join(members, "id"), shingle), "shingle-sets").dropDuplicates(["id"]).join(members, "id")
+
+    gone = live.select("id", F.col("id").alias("by")).limit(0)
     for _ in range(rounds):
         if live.head() is None:
             break
         first = written(live.groupBy("c").agg(F.min("id").alias("id")).join(live.select("id", "s"), "id").select(F.col("c").alias("k"), F.col("id").alias("first"), F.col("s").alias("t")), "elected")
-        rest = live.join(first, F.col("c") == F.col("k")).where("id <> first").select("id", "c", "s", "t")
-        rest = written(map_arrow(rest, judge, judged), "judged")
-        gone = gone.unionByName(rest.where("near").select("id"))
-        live = rest.where("not near").drop("near")
-    left = named.join(gone.select(F.col("id").alias(id_col)), id_col, "left_anti").dropDuplicates([id_col])
-    return left.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+        rest = live.join(first, F.col("c") == F.col("k")).where("id <> first").select("id", "c", "first", "s", "t")
+        rest = written(judged(rest, least), "judged")
+        gone = gone.unionByName(rest.where("near").select("id", F.col("first").alias("by")))
+        live = rest.where("not near").select("id", "c", "s")
+    gone = written(gone, "gone")
+
+    texts = texts.join(members.select("id"), "id", "left_semi")
+    left = texts.join(gone.select("id"), "id", "left_anti")
+    common = common_shingles(left, shingle)
+    rows = written(prefixes(left, shingle, least, common), "prefixes")
+    pairs = similar_pairs(candidate_pairs(rows, rows, least), texts, shingle, least)
+    weight = gone.groupBy("by").agg(F.count("*").alias("w"))
+    for end in ("a", "b"):
+        pairs = pairs.join(weight.select(F.col("by").alias(end), F.col("w").alias(f"w{end}")), end, "left").fillna(0, [f"w{end}"])
+    lost = written(beaten(pairs.select(F.when(F.expr("wa >= wb"), F.col("a")).otherwise(F.col("b")).alias("win"), F.when(F.expr("wa >= wb"), F.col("b")).otherwise(F.col("a")).alias("lose"))), "lost")
+
+    back = written(gone.join(lost.select(F.col("id").alias("by")), "by", "left_semi").select("id"), "taken-back")
+    gone = gone.select("id").join(back, "id", "left_anti").unionByName(lost)
+    if back.head() is not None:
+        again = written(prefixes(texts.join(back, "id", "left_semi"), shingle, least, common), "prefixes")
+        stayed = rows.join(lost, "id", "left_anti").unionByName(again)
+        pairs = similar_pairs(candidate_pairs(again, stayed, least), texts, shingle, least)
+        for end in ("a", "b"):
+            pairs = pairs.join(back.select(F.col("id").alias(end), F.lit(True).alias(f"w{end}")), end, "left").fillna(False, [f"w{end}"])
+        swap = F.expr("wa and not wb")
+        gone = gone.unionByName(beaten(pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("win"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("lose"))))
+    kept = named.join(gone.select(F.col("id").alias(id_col)), id_col, "left_anti").dropDuplicates([id_col])
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
