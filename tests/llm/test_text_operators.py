@@ -258,3 +258,16 @@ def test_components_of_hundreds_of_clusters_are_finished(spark):
                 w[rng.randrange(200)] = f"c{v}x{copy}"
             texts[v + 200 * copy] = " ".join(w)
     assert len(assert_kept(spark, texts)) < 220
+
+
+def test_pairs_far_apart_in_every_fingerprint_are_found(spark):
+    rng, texts = random.Random(8), {}
+    for v in range(60):
+        w = [f"v{v}x{i}" for i in range(60 + v)]
+        texts[2 * v] = " ".join(w)
+        w[rng.randrange(5, 50)] = "new"
+        texts[2 * v + 1] = " ".join(w)
+    texts |= {1000: "", 1001: " ", 1002: "a b", 1003: "A  b"}
+    near = brute_similar(texts)
+    assert len(near) > 40
+    assert len(assert_kept(spark, texts)) == len(texts) - len(near)

@@ -520,7 +520,6 @@ def keep_one(docs: DataFrame, *, shingle: int = 5, max_bits: int = 6, mixes: int
         live = rest.where("not near").select("id", "c", "s")
     gone = written(gone, "gone")
 
-    texts = texts.join(members.select("id"), "id", "left_semi")
     left = texts.join(gone.select("id"), "id", "left_anti")
     common = common_shingles(left, shingle)
     rows = written(prefixes(left, shingle, least, common), "prefixes")
