@@ -148,6 +148,27 @@ def _counts(normalization: bool) -> Query:
     return query
 
 
+def norm_events_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every normalization event of all three roles."""
+    parts = [evidence_rows(_frame(spark, d, r), r, "events") for r in FIELDS]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("record_type", *_REF, "field", "code", "original", "cleaned", "message")
+
+
+def rejected_rows_all(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of all three roles that were not accepted, with every raw value and reasons."""
+    return evidence.rejected_rows(_bundle(spark, d))
+
+
+def _counts_all(normalization: bool) -> Query:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return evidence.code_counts(evidence.audit_events(_bundle(spark, d)), normalization)
+
+    return query
+
+
 def disposition_counts(spark: SparkSession, d: str) -> DataFrame:
     """Rejected rows of all roles by disposition."""
     return evidence.disposition_counts(evidence.rejected_rows(_bundle(spark, d)))
@@ -196,6 +217,10 @@ QUERIES: dict[str, Query] = {
     "rejected_rows": rejected_rows,
     "rule_counts": _counts(False),
     "normalization_counts": _counts(True),
+    "norm_events_all": norm_events_all,
+    "rejected_rows_all": rejected_rows_all,
+    "rule_counts_all": _counts_all(False),
+    "normalization_counts_all": _counts_all(True),
     "disposition_counts": disposition_counts,
     "summary_shares": summary_shares,
     "invariant_violations": invariant_violations,
