@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.shipping import ship_package
-from ..functions.work import work_path, written
+from ..functions.work import discard, work_path, written
 
-__all__ = ["BATCH_RECORDS", "clear_of", "map_arrow", "small_batches", "texts_of", "work_path", "written"]
+__all__ = ["BATCH_RECORDS", "clear_of", "discard", "map_arrow", "small_batches", "texts_of", "work_path", "written"]
 
 #: Records of one Arrow batch; a batch of long texts must fit beside the JVM.
 BATCH_RECORDS = 512

@@ -15,16 +15,17 @@ choice of the smallest id (a group of nothing else has a null one). Repeated row
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, texts_of, written
+from .common import discard, map_arrow, small_batches, texts_of, written
 from .components import components, forest
 
 BITS, PARTS, WIDTH = 64, 4, 16
@@ -36,34 +37,34 @@ PROBES = (1, 1 + WIDTH, 1 + WIDTH + WIDTH * (WIDTH - 1) // 2)
 PROBE_COST = 4
 #: Pairs that are expanded at once; larger groups are searched from link to link.
 BLOCK = 1 << 18
-#: Texts that say which shingles are common, and how many of these are told apart.
-SAMPLE, COMMON = 1 << 14, 1 << 16
+#: Rows, or probes, of one key from which it is dealt in blocks.
+HOT = 1 << 17
+#: Buckets in which the texts that hold a shingle are counted.
+SKETCH = 1 << 18
+#: Texts of a component that elect leaders at once, and leaders that they elect.
+GROUP, LEADERS = 1000, 64
 
+_L = T.LongType()
 
-def fingerprint(text: str, shingle: int, mixes: int = 1) -> bytes:
-    """Eight bytes, the highest bit first: set where over half of the shingles' hashes have it.
 
-    mixes > 1 appends fingerprints of the same shingles under further, mixed hashes.
-    """
+def shingle_rows(text: str, shingle: int) -> np.ndarray:
+    """(n, 8) bytes: each shingle's hash; fewer words make one shingle, none make none."""
     words = text.encode().lower().split()  # A-Z only; cuts at space and U+0009..U+000D
     if not words:
-        return bytes(8 * mixes)
+        return np.empty((0, 8), np.uint8)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.append(0, ends[:-1] + 1)
     n = max(1, len(words) - shingle + 1)
     last = ends[min(shingle, len(words)) - 1 :]
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist())])
-    out = []
-    for mix in range(mixes):
-        rows = np.frombuffer(hashes, np.uint8).reshape(n, 8)
-        if mix:
-            h = (rows.view(np.uint64).ravel() + np.uint64(mix)) * np.uint64(0x9E3779B97F4A7C15)
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            rows = (h ^ (h >> np.uint64(29))).view(np.uint8).reshape(n, 8)
-        out.append(_majority(rows))
-    return b"".join(out)
+    return np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist())]), np.uint8).reshape(n, 8)
+
+
+def fingerprint(text: str, shingle: int) -> bytes:
+    """Eight bytes, the highest bit first: set where over half of the shingles' hashes have it."""
+    rows = shingle_rows(text, shingle)
+    return _majority(rows) if len(rows) else bytes(8)
 
 
 def _majority(rows: np.ndarray) -> bytes:
@@ -77,16 +78,15 @@ def _majority(rows: np.ndarray) -> bytes:
     return np.packbits(2 * total > n).tobytes()
 
 
-def fingerprints(docs: DataFrame, *, shingle: int = 5, mixes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long, fp1, ...) of every whole text; bits are the fingerprint's, as a signed long."""
+def fingerprints(docs: DataFrame, *, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp long) of every whole text; bits are the fingerprint's, as a signed long."""
     texts = texts_of(docs, id_col, text_col)
-    schema = T.StructType([texts.schema[0], *(T.StructField(f"fp{i or ''}", T.LongType()) for i in range(mixes))])
+    schema = T.StructType([texts.schema[0], T.StructField("fp", _L)])
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            raw = b"".join(fingerprint(t, shingle, mixes) for t in batch.column(1).to_pylist())
-            fps = np.frombuffer(raw, ">i8").astype(np.int64).reshape(-1, mixes)
-            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, i]) for i in range(mixes))], names=schema.names)
+            raw = b"".join(fingerprint(t, shingle) for t in batch.column(1).to_pylist())
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(raw, ">i8").astype(np.int64))], names=schema.names)
 
         return step
 
@@ -161,6 +161,8 @@ def candidate_counts(histogram: np.ndarray) -> np.ndarray:
 def allocate(counts: np.ndarray, values: np.ndarray, max_bits: int) -> np.ndarray:
     """Thresholds t (n, PARTS) with sum(t + 1) = max_bits + 1 and least estimated cost, by DP."""
     n, need, width = len(values), max_bits + 1, len(RADII) + 1
+    if not 0 <= max_bits < PARTS * len(RADII):
+        raise ValueError(f"max_bits must be 0..{PARTS * len(RADII) - 1}: {PARTS} parts are probed to radius {RADII[-1]} at most")
     cost = np.zeros((PARTS, width, n))
     for i in range(PARTS):
         for r in range(len(RADII)):
@@ -259,6 +261,25 @@ def _verify(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, max_bits: int, l
         links.add(a[linked], b[linked])
 
 
+def _dealt(keys: list, own: list, probe: list, part: int, value: np.ndarray, fps: np.ndarray, there: np.ndarray, most: np.ndarray, asks: bool) -> tuple[list, list, list]:
+    """Adds rows of a part's values: a key of over HOT rows is dealt in a grid of blocks of rows by blocks of probes.
+
+    Each row goes to every block of probes of its key and each probe to every block of rows,
+    so all of them meet and no task holds more than about HOT of either.
+    """
+    rows, probes = 1 + there[value] // HOT, 1 + most[value] // HOT
+    base = (value + (part << WIDTH)) << 32
+    place = (fps.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+    fixed, across = (place % probes, rows) if asks else (place % rows, probes)
+    owner = np.repeat(np.arange(len(value)), across)
+    turn = np.arange(len(owner)) - np.repeat(np.cumsum(across) - across, across)
+    a, b = (turn, fixed[owner]) if asks else (fixed[owner], turn)
+    keys.append(base[owner] + (a << 16) + b)
+    own.append(fps[owner])
+    probe.append(np.full(len(owner), asks))
+    return keys, own, probe
+
+
 def links(nodes: DataFrame, max_bits: int) -> DataFrame:
     """(a, b) edges whose components are those of all pairs of distinct `fp` at most max_bits apart."""
     spark = nodes.sparkSession
@@ -277,6 +298,7 @@ def links(nodes: DataFrame, max_bits: int) -> DataFrame:
     for r in by_key.toLocalIterator():  # at most PARTS * 2**WIDTH rows, whatever the corpus
         histogram[r["key"]] = r["n"]
     counts = np.stack([candidate_counts(h) for h in histogram.reshape(PARTS, -1)])
+    allocate(counts, np.zeros((1, PARTS), np.int64), max_bits)  # raises here, not in a task
     sent = spark.sparkContext.broadcast(counts)  # of that fixed size
 
     def deal():
@@ -286,18 +308,14 @@ def links(nodes: DataFrame, max_bits: int) -> DataFrame:
             t = allocate(sent.value, values, max_bits)
             keys, own, probe = [], [], []
             for i in range(PARTS):
-                keys.append(values[:, i] + (i << WIDTH))
-                own.append(fps)
-                probe.append(np.zeros(len(fps), bool))
+                there, most = sent.value[i, 0], sent.value[i, -1]  # the exact histogram, and who may ask
+                keys, own, probe = _dealt(keys, own, probe, i, values[:, i], fps, there, most, False)
                 for r in RADII:
                     who = t[:, i] == r
                     f = _flips(r)
                     asked = values[who, i][:, None] ^ f
-                    there = sent.value[i, 0]  # the exact histogram: what no other answers stays here
-                    met = (there[asked] > (f == 0)).ravel()
-                    keys.append((asked + (i << WIDTH)).ravel()[met])
-                    own.append(np.repeat(fps[who], len(f))[met])
-                    probe.append(np.ones(len(keys[-1]), bool))
+                    met = (there[asked] > (f == 0)).ravel()  # what no other answers stays here
+                    keys, own, probe = _dealt(keys, own, probe, i, asked.ravel()[met], np.repeat(fps[who], len(f))[met], there, most, True)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, own, probe)], names=["key", "fp", "probe"])
 
         return step
@@ -329,13 +347,8 @@ def links(nodes: DataFrame, max_bits: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp long, component_id): the smallest id that links of at most max_bits bits reach."""
-    return grouped(written(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "fingerprints"), max_bits, id_col)
-
-
-def grouped(rows: DataFrame, max_bits: int, id_col: str) -> DataFrame:
-    """(id, fp, component_id) of written (id, fp) rows."""
-    nodes = rows.groupBy("fp").agg(F.min(id_col).alias("least"))
-    nodes = written(nodes, "nodes")
+    rows = written(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "fingerprints")
+    nodes = written(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
     roots = components(links(nodes, max_bits))
     placed = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -344,12 +357,8 @@ def grouped(rows: DataFrame, max_bits: int, id_col: str) -> DataFrame:
 
 
 def shingle_set(text: str, shingle: int) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles; fewer words make one, none make none."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    n = max(1, len(words) - shingle + 1)
-    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)]), np.uint64))
+    """Sorted distinct hashes of the text's shingles."""
+    return np.unique(shingle_rows(text, shingle).reshape(-1).view(np.uint64))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -360,184 +369,312 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that many of the (id, text) rows have, and counts from `SAMPLE` of the rows.
+def word_key(text: Column) -> Column:
+    """16 bytes of a text's words, A-Z lower-cased: equal for texts of equal words (MD5; null is the empty text)."""
+    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.unhex(F.md5(F.trim(F.regexp_replace(lower, "[ \\t-\\r]+", " "))))
+
+
+def _unpacked() -> Callable[[bytes], str]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return lambda z: unpack(z).decode()
+
 
-    They only say which shingles prefixes take last; any order finds every pair.
+def representatives(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(k long, node, id, z), (id, node) of copies that go, and (id, node) of rows that stand there more than once.
+
+    A node is a sequence of words. It is represented by its smallest id (null only if it has no
+    other) and gets a number k; z is its packed text. Texts are shuffled only if Spark finds
+    the copies too many to send around.
     """
-    schema = T.StructType([T.StructField("h", T.LongType())])
-    every = max(1, -(-texts.count() // SAMPLE))
+    rows = docs.select(F.col(id_col).alias("id"), word_key(F.col(text_col)).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    counts = written(rows.groupBy("node", "id").agg(F.count("*").alias("n")), "words")
+    least = counts.groupBy("node").agg(F.min_by("id", F.struct(F.col("id").isNull(), "id")).alias("least"), F.count("*").alias("ids"))
+    several = written(least.where("ids > 1").select(F.col("node").alias("_n"), "least"), "copied")
+    copies = written(counts.join(several, F.col("node") == F.col("_n")).where(~F.col("id").eqNullSafe(F.col("least"))).select("id", "node"), "copies")
+    repeats = written(without(counts.where("n > 1"), copies).select("id", "node"), "repeats")
+    one = without(rows, copies)
+    if repeats.head() is not None:
+        again = among(one, repeats).groupBy("id", "node").agg(F.first("text").alias("text"))
+        one = without(one, repeats).unionByName(again)
+    discard(counts, several)
+    schema = T.StructType([*one.schema[:2], T.StructField("z", T.BinaryType())])
+
+    def make():
+        pack = zstandard.ZstdCompressor(level=3).compress
 
-    def cut():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
+            return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([pack(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())], names=schema.names)
 
         return step
 
-    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
-    counts = map_arrow(sample, cut, schema).groupBy("h").agg(F.count("*").alias("n")).where("n > 3").orderBy(F.desc("n"), "h").limit(COMMON)
-    rows = counts.collect()  # at most COMMON rows
-    hashes, n = (np.array([r[c] for r in rows], np.int64) for c in ("h", "n"))
-    order = np.argsort(hashes.view(np.uint64))
-    return hashes.view(np.uint64)[order], n[order]
+    packed = map_arrow(one.select("id", "node", "text"), make, schema).withColumn("k", F.monotonically_increasing_id())
+    return written(packed, "texts"), copies, repeats
+
+
+def without(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """rows whose (id, node) is not listed; null ids are ids like any other."""
+    at = listed.select(F.col("id").alias("_i"), F.col("node").alias("_n"))
+    return rows.join(at, F.col("id").eqNullSafe(F.col("_i")) & (F.col("node") == F.col("_n")), "left_anti")
+
 
+def among(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """rows whose (id, node) is listed."""
+    at = listed.select(F.col("id").alias("_i"), F.col("node").alias("_n"))
+    return rows.join(at, F.col("id").eqNullSafe(F.col("_i")) & (F.col("node") == F.col("_n")), "left_semi")
 
-def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
-    """The first shingles in the order (count, hash), so many that sets as similar as `least` share one.
 
-    A text without words has the one entry 0.
+def prints_and_counts(texts: DataFrame, shingle: int) -> tuple[DataFrame, np.ndarray]:
+    """(k, fp) of every (k, z) row, and in how many of the texts a shingle of each of SKETCH buckets stands.
+
+    One pass over all texts; each task adds up its buckets, and the driver gets SKETCH sums.
     """
-    if not len(shingles):
-        return np.zeros(1, np.uint64)
-    at = np.searchsorted(common[0], shingles)
-    count = np.zeros(len(shingles), np.int64)
-    inside = at < len(common[0])
-    known = inside.copy()
-    known[inside] = common[0][at[inside]] == shingles[inside]
-    count[known] = common[1][at[known]]
+    schema = T.StructType([T.StructField("k", _L), T.StructField("fp", _L), T.StructField("bucket", T.IntegerType()), T.StructField("n", _L)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, text = np.zeros(SKETCH, np.int64), _unpacked()
+        for b in batches:
+            fps = []
+            for z in b.column(1).to_pylist():
+                rows = shingle_rows(text(z), shingle)
+                fps.append(_majority(rows) if len(rows) else bytes(8))
+                np.add.at(total, bucket_of(np.unique(rows.reshape(-1).view(np.uint64))), 1)
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.frombuffer(b"".join(fps), ">i8").astype(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names=schema.names)
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 1 << 15):
+            some = at[i : i + (1 << 15)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array(some.astype(np.int32)), pa.array(total[some])], names=schema.names)
+
+    small_batches(texts.sparkSession)
+    rows = written(texts.select("k", "z").mapInArrow(run, schema), "prints")
+    counts = np.zeros(SKETCH, np.int64)
+    for r in rows.where("k is null").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():  # at most SKETCH rows
+        counts[r["bucket"]] = r["n"]
+    return rows.where("k is not null").select("k", "fp"), counts
+
+
+def bucket_of(shingles: np.ndarray) -> np.ndarray:
+    """The bucket in which a shingle is counted."""
+    return (shingles >> np.uint64(17)).astype(np.int64) % SKETCH
+
+
+def prefix(shingles: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles in the order (bucket's count, hash), so many that sets as similar as `least` share one."""
     need = int(np.ceil(least * len(shingles) - 1e-9))
-    return shingles[np.lexsort((shingles, count))][: len(shingles) - need + 1]
+    return shingles[np.lexsort((shingles, counts[bucket_of(shingles)]))][: len(shingles) - need + 1]
 
 
-def prefixes(texts: DataFrame, shingle: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(h, id, n, at): every text's prefix shingles with their places, and how many shingles it has."""
-    sent = texts.sparkSession.sparkContext.broadcast(common)  # at most COMMON entries
-    schema = T.StructType([T.StructField("h", T.LongType()), texts.schema["id"], T.StructField("n", T.IntegerType()), T.StructField("at", T.IntegerType())])
+def prefixes(texts: DataFrame, shingle: int, least: float, counts: np.ndarray) -> DataFrame:
+    """(h, k, n, at): every text's prefix shingles with their places, and how many shingles it has.
+
+    Texts without words are one node and have no near one.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(counts)  # of a fixed size
+    schema = T.StructType([T.StructField("h", _L), T.StructField("k", _L), T.StructField("n", T.IntegerType()), T.StructField("at", T.IntegerType())])
+
+    def make():
+        text = _unpacked()
 
-    def cut():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
-            firsts = [prefix(x, sent.value, least) for x in sets]
+            sets = [shingle_set(text(z), shingle) for z in batch.column(1).to_pylist()]
+            firsts = [prefix(x, sent.value, least) if len(x) else x for x in sets]
             many = [len(x) for x in firsts]
-            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(sets)), many)))
             places = np.concatenate([np.arange(m, dtype=np.int32) for m in many])
             sizes = np.repeat(np.array([len(x) for x in sets], np.int32), many)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), ids, pa.array(sizes), pa.array(places)], names=schema.names)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), many)), pa.array(sizes), pa.array(places)], names=schema.names)
 
         return step
 
-    return map_arrow(texts, cut, schema)
+    return map_arrow(texts.select("k", "z"), make, schema)
 
 
 def candidate_pairs(rows: DataFrame, others: DataFrame, least: float) -> DataFrame:
-    """(a, b), a < b: ids of prefix rows that meet others at a place from which `least` can be reached."""
-    x = rows.select("h", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("at").alias("xat"))
-    y = others.select("h", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("at").alias("yat"))
+    """(a, b), a < b: numbers of prefix rows that meet others at a place from which `least` can be reached.
+
+    A sort-merge join on the shingle, whose partitions Spark can split where very many texts
+    hold it; the sides of a self-join share one shuffle.
+    """
+    x = rows.select("h", F.col("k").alias("x"), F.col("n").alias("xn"), F.col("at").alias("xat"))
+    y = others.select("h", F.col("k").alias("y"), F.col("n").alias("yn"), F.col("at").alias("yat"))
     reach = F.least(F.col("xn") - F.col("xat"), F.col("yn") - F.col("yat"))  # holds for the first shingle a pair shares
     need = (F.col("xn") + F.col("yn")) * (least / (1 + least)) - 1e-9
-    met = x.join(y, "h").where((F.col("x") != F.col("y")) & (reach >= need) & (F.least("xn", "yn") >= F.greatest("xn", "yn") * least - 1e-9))
+    met = x.hint("merge").join(y, "h").where((F.col("x") != F.col("y")) & (reach >= need) & (F.least("xn", "yn") >= F.greatest("xn", "yn") * least - 1e-9))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
-    """(id, s): the shingle set of each id."""
-    schema = T.StructType([texts.schema["id"], T.StructField("s", T.BinaryType())])
-
-    def sets():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=schema.names)
-
-        return step
-
-    return map_arrow(texts.select("id", "text"), sets, schema)
-
+def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(a, b, ia, ib) of those (a, b) pairs whose exact similarity is at least `least`, with their ids."""
+    left, right = (texts.select(F.col("k").alias(c), F.col("id").alias(f"i{c}"), F.col("z").alias(f"z{c}")) for c in "ab")
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "ia", "ib", "za", "zb")
+    schema = T.StructType([*rows.schema[:4], T.StructField("near", T.BooleanType())])
 
-def judged(rows: DataFrame, least: float) -> DataFrame:
-    """rows (..., s, t) with `near`, whether the sets s and t are as similar as `least`, for t."""
-    last = len(rows.columns) - 1
-    schema = T.StructType([*rows.schema[:last], T.StructField("near", T.BooleanType())])
+    def make():
+        text, held = _unpacked(), (None, None)
 
-    def judge():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            s, t = batch.column(last - 1).to_pylist(), batch.column(last).to_pylist()
-            near = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(s, t)]
-            return pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(near, pa.bool_())], names=schema.names)
+            nonlocal held
+            near = []
+            for b, za, zb in zip(*(batch.column(i).to_pylist() for i in (1, 4, 5))):
+                if held[0] != b:  # rows come in order of b
+                    held = (b, shingle_set(text(zb), shingle))
+                near.append(similarity(shingle_set(text(za), shingle), held[1]) >= least)
+            return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(near, pa.bool_())], names=schema.names)
 
         return step
 
-    return map_arrow(rows, judge, schema)
-
-
-def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Those of the (a, b) pairs whose exact similarity is at least `least`."""
-    pairs = written(pairs, "candidates")
-    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = written(sets_of(texts.join(asked, "id"), shingle).dropDuplicates(["id"]), "candidate-sets")
-    left, right = sets.select(F.col("id").alias("a"), "s"), sets.select(F.col("id").alias("b"), F.col("s").alias("t"))
-    return judged(pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t"), least).where("near").select("a", "b")
+    return map_arrow(rows, make, schema).where("near").drop("near")
 
 
 def beaten(edges: DataFrame) -> DataFrame:
-    """Ids that go so that no (win, lose) edge has both ends left and whoever goes has a winner that stays.
+    """Numbers that go so that no (win, lose) edge has both ends left and whoever goes has a winner that stays.
 
     Whoever no edge beats stays, who loses to them goes, and so on until no edge is left.
     """
     edges, gone = written(edges, "edges"), None
-    none = edges.select(F.col("lose").alias("id")).limit(0)
+    none = edges.select(F.col("lose").alias("k")).limit(0)
     while edges.head() is not None:
-        stay = edges.select(F.col("win").alias("id")).distinct().join(edges.select(F.col("lose").alias("id")), "id", "left_anti")
-        out = written(edges.join(stay, F.col("win") == F.col("id")).select(F.col("lose").alias("id")).distinct(), "beaten")
+        stay = edges.select(F.col("win").alias("k")).distinct().join(edges.select(F.col("lose").alias("k")), "k", "left_anti")
+        out = written(edges.join(stay, F.col("win") == F.col("k")).select(F.col("lose").alias("k")).distinct(), "beaten")
         gone = out if gone is None else gone.unionByName(out)
+        last = edges
         for end in ("win", "lose"):
-            edges = edges.join(out.select(F.col("id").alias(end)), end, "left_anti")
+            edges = edges.join(out.select(F.col("k").alias(end)), end, "left_anti")
         edges = written(edges, "edges")
+        discard(last)
     return none if gone is None else gone
 
 
-def keep_one(docs: DataFrame, *, shingle: int = 5, max_bits: int = 6, mixes: int = 3, least: float = 0.8, rounds: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs (every column) without near-duplicates: of what stays no two documents are as similar
-    as `least` (Jaccard over distinct shingles), and whatever goes is so similar to one that stays.
+def _leaders(shingle: int, least: float):
+    """Over (c, k, z) rows in order of c: (c, k, z of leaders, by of those that go for one).
+
+    A row goes for the first leader that is as similar as `least`, else it becomes a leader
+    while there are fewer than LEADERS.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, group, held = _unpacked(), None, []
+        for b in batches:
+            out = []
+            for c, k, z in zip(*(x.to_pylist() for x in b.columns)):
+                if c != group:
+                    group, held = c, []
+                s = shingle_set(text(z), shingle)
+                by = next((i for i, t in held if similarity(s, t) >= least), None)
+                if by is None and len(held) < LEADERS:
+                    held.append((k, s))
+                    out.append((c, k, z, None))
+                elif by is not None:
+                    out.append((c, k, None, by))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int64()))], names=["c", "k", "z", "by"])
+
+    return run
 
-    Large groups are thinned first: in each component of the links of several independent
-    fingerprints the smallest id is elected and those as similar to it as `least` go, for
-    `rounds` rounds. Of what is left, every pair as similar as `least` is found by exact
-    prefixes; in a pair the one that more have gone for stays, else the smaller id. Those who
-    had gone for an elected one that goes itself are taken back and compared again. Rows of
-    equal id count once and are told apart by nothing: one stays. Documents without an id
-    stay.
+
+def _followers(shingle: int, least: float):
+    """Over (c, salt, is member, k, z) rows in that order: (k, by) of members that go for a leader of their group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, group, held = _unpacked(), None, []
+        for b in batches:
+            out = []
+            for c, salt, member, k, z in zip(*(x.to_pylist() for x in b.columns)):
+                if (c, salt) != group:
+                    group, held = (c, salt), []
+                s = shingle_set(text(z), shingle)
+                if not member:
+                    held.append((k, s))
+                elif (by := next((i for i, t in held if similarity(s, t) >= least), None)) is not None:
+                    out.append((k, by))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["k", "by"])
+
+    return run
+
+
+def thinned(texts: DataFrame, prints: DataFrame, shingle: int, max_bits: int, least: float) -> DataFrame:
+    """(k, by): who goes for whom within the components of fingerprints at most max_bits apart.
+
+    Of each component GROUP texts of smallest hash elect leaders in order of id, unlike each
+    other; all its texts are then compared with these, a large component in salted parts. Components that are
+    still large and have shrunk by a tenth elect again. What this does not reach stays for the
+    exact search, so nothing depends on it but the time that a large group takes.
+    """
+    nodes = written(prints.groupBy("fp").agg(F.count("*").alias("n")), "nodes")
+    roots = components(links(nodes, max_bits)).select(F.col("node").alias("_f"), "root")
+    found = prints.join(nodes.where("n > 1").select(F.col("fp").alias("_f"), F.col("fp").alias("root")).unionByName(roots).groupBy("_f").agg(F.min("root").alias("c")), F.col("fp") == F.col("_f"))
+    roots_too = roots.select(F.col("root").alias("c")).distinct()
+    lone = prints.join(roots_too, F.col("fp") == F.col("c"), "left_semi").select("k", F.col("fp").alias("c"))
+    live = written(found.select("k", "c").unionByName(lone).distinct(), "members")
+    small_batches(texts.sparkSession)
+    order, gone = F.xxhash64("k"), None
+    while live.head() is not None:
+        size = live.groupBy("c").agg(F.count("*").alias("n"))
+        live = written(live.join(size, "c").where("n > 1"), "members")
+        first = live.withColumn("i", F.row_number().over(Window.partitionBy("c").orderBy(order, "k"))).where(F.col("i") <= GROUP)  # limited before its shuffle
+        first = first.select("c", "k").join(texts.select("k", "id", "z"), "k").repartition("c").sortWithinPartitions("c", F.col("id").isNull(), "id", "k")
+        led = written(first.select("c", "k", "z").mapInArrow(_leaders(shingle, least), "c long, k long, z binary, by long"), "leaders")
+        out = led.where("by is not null").select("k", "by")
+        heads = led.where("by is null").select("c", "k", "z")
+        rest = live.where(F.col("n") > GROUP).withColumn("salts", F.expr(f"1 + n div {GROUP}"))
+        if rest.head() is not None:
+            salted = heads.join(rest.select("c", "salts").distinct(), "c").select("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), "k", "z")
+            asked = rest.join(led.select("k"), "k", "left_anti").join(texts.select("k", "z"), "k").select("c", F.pmod(order, "salts").alias("salt"), F.lit(True).alias("member"), "k", "z")
+            both = salted.unionByName(asked).repartition("c", "salt").sortWithinPartitions("c", "salt", "member")
+            out = out.unionByName(both.mapInArrow(_followers(shingle, least), "k long, by long"))
+        out = written(out, "gone")
+        gone = out if gone is None else gone.unionByName(out)
+        left = rest.join(out.select("k"), "k", "left_anti").join(heads.select("k"), "k", "left_anti").select("k", "c", "n")
+        fewer = left.groupBy("c").agg(F.count("*").alias("m"), F.max("n").alias("n")).where("m <= 0.9 * n").select("c")
+        live, last = written(left.join(fewer, "c", "left_semi").select("k", "c"), "members"), live
+        discard(last, led)
+    return texts.select("k", F.col("k").alias("by")).limit(0) if gone is None else written(gone, "gone")
+
+
+def keep_one(docs: DataFrame, *, shingle: int = 5, max_bits: int = 6, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs (every column) without near-duplicates: of what stays no two rows are as similar as
+    `least` (Jaccard over distinct shingles), and whatever goes is so similar to one that stays.
+
+    Rows are told apart by id and words, never by the id alone. Of rows with the same words
+    the smallest id stays (a null id only if there is no other), of wholly equal ones one row.
+    Large groups are thinned by the components of their fingerprints (see thinned()); of what
+    is left, every pair as similar as `least` is found by exact prefixes. In a pair the one
+    that more have gone for stays, else the smaller id. Those who had gone for one that goes
+    itself are taken back and compared again.
     """
-    named = docs.where(F.col(id_col).isNotNull())
-    prints = written(fingerprints(named, shingle=shingle, mixes=mixes, id_col=id_col, text_col=text_col), "fingerprints")
-    edges = None
-    for i in range(mixes):
-        one = grouped(prints.select(id_col, F.col(f"fp{i or ''}").alias("fp")), max_bits, id_col)
-        one = one.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("a"), F.col("component_id").alias("b"))
-        edges = one if edges is None else edges.unionByName(one)
-    found = components(edges)
-    members = written(found.select(F.col("node").alias("id"), F.col("root").alias("c")).unionByName(found.select(F.col("root").alias("id"), F.col("root").alias("c"))).distinct(), "members")
-    texts = named.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    live = written(sets_of(texts.join(members, "id"), shingle), "shingle-sets").dropDuplicates(["id"]).join(members, "id")
-
-    gone = live.select("id", F.col("id").alias("by")).limit(0)
-    for _ in range(rounds):
-        if live.head() is None:
-            break
-        first = written(live.groupBy("c").agg(F.min("id").alias("id")).join(live.select("id", "s"), "id").select(F.col("c").alias("k"), F.col("id").alias("first"), F.col("s").alias("t")), "elected")
-        rest = live.join(first, F.col("c") == F.col("k")).where("id <> first").select("id", "c", "first", "s", "t")
-        rest = written(judged(rest, least), "judged")
-        gone = gone.unionByName(rest.where("near").select("id", F.col("first").alias("by")))
-        live = rest.where("not near").select("id", "c", "s")
-    gone = written(gone, "gone")
-
-    left = texts.join(gone.select("id"), "id", "left_anti")
-    common = common_shingles(left, shingle)
-    rows = written(prefixes(left, shingle, least, common), "prefixes")
-    pairs = similar_pairs(candidate_pairs(rows, rows, least), texts, shingle, least)
+    texts, copies, repeats = representatives(docs, id_col, text_col)
+    prints, counts = prints_and_counts(texts, shingle)
+    gone = thinned(texts, prints, shingle, max_bits, least)
+    left = texts.join(gone.select("k"), "k", "left_anti")
+    rows = prefixes(left, shingle, least, counts)
+    pairs = written(similar_pairs(written(candidate_pairs(rows, rows, least), "candidates"), texts, shingle, least), "similar")
     weight = gone.groupBy("by").agg(F.count("*").alias("w"))
     for end in ("a", "b"):
         pairs = pairs.join(weight.select(F.col("by").alias(end), F.col("w").alias(f"w{end}")), end, "left").fillna(0, [f"w{end}"])
-    lost = written(beaten(pairs.select(F.when(F.expr("wa >= wb"), F.col("a")).otherwise(F.col("b")).alias("win"), F.when(F.expr("wa >= wb"), F.col("b")).otherwise(F.col("a")).alias("lose"))), "lost")
+    lost = written(beaten(_ranked(pairs, "wa > wb")), "lost")
 
-    back = written(gone.join(lost.select(F.col("id").alias("by")), "by", "left_semi").select("id"), "taken-back")
-    gone = gone.select("id").join(back, "id", "left_anti").unionByName(lost)
+    back = written(gone.join(lost.select(F.col("k").alias("by")), "by", "left_semi").select("k"), "taken-back")
+    gone = gone.select("k").join(back, "k", "left_anti").unionByName(lost)
     if back.head() is not None:
-        again = written(prefixes(texts.join(back, "id", "left_semi"), shingle, least, common), "prefixes")
-        stayed = rows.join(lost, "id", "left_anti").unionByName(again)
-        pairs = similar_pairs(candidate_pairs(again, stayed, least), texts, shingle, least)
+        again = written(prefixes(texts.join(back, "k", "left_semi"), shingle, least, counts), "prefixes")
+        stayed = rows.join(lost, "k", "left_anti").unionByName(again)
+        pairs = similar_pairs(written(candidate_pairs(again, stayed, least), "candidates"), texts, shingle, least)
         for end in ("a", "b"):
-            pairs = pairs.join(back.select(F.col("id").alias(end), F.lit(True).alias(f"w{end}")), end, "left").fillna(False, [f"w{end}"])
-        swap = F.expr("wa and not wb")
-        gone = gone.unionByName(beaten(pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("win"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("lose"))))
-    kept = named.join(gone.select(F.col("id").alias(id_col)), id_col, "left_anti").dropDuplicates([id_col])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+            pairs = pairs.join(back.select(F.col("k").alias(end), F.lit(1).alias(f"w{end}")), end, "left").fillna(0, [f"w{end}"])
+        gone = gone.unionByName(beaten(_ranked(pairs, "wa < wb")))
+    off = written(copies.unionByName(texts.join(gone.select("k"), "k", "left_semi").select("id", "node")), "off")
+    held = [f"c{i}" for i in range(len(docs.columns))]
+    at = {n: h for n, h in zip(docs.columns, held)}
+    source = docs.toDF(*held).withColumns({"id": F.col(at[id_col]), "node": word_key(F.col(at[text_col]))})
+    kept = without(source, off)
+    if repeats.head() is not None:
+        once = among(kept, repeats).groupBy("id", "node").agg(F.first(F.struct(*held)).alias("r")).select("r.*")
+        kept = without(kept, repeats).select(*held).unionByName(once)
+    discard(prints)
+    return kept.select(*(F.col(h).alias(n) for n, h in zip(docs.columns, held)))
+
+
+def _ranked(pairs: DataFrame, first_wins: str) -> DataFrame:
+    """(win, lose) of (a, b) pairs; where weights are equal the smaller id wins, a null id never, else the smaller number."""
+    order = F.struct(F.col("ia").isNull(), "ia", "a") < F.struct(F.col("ib").isNull().alias("c"), F.col("ib"), F.col("b"))
+    first = F.expr(first_wins) | (F.col("wa") == F.col("wb")) & order
+    return pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("win"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("lose"))
