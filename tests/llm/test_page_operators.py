@@ -34,9 +34,64 @@ def pages(spark):
 
 def test_lines_of():
     got = html_extract.lines_of('<header>site</header><div id="main-nav">x</div><p>One &lt;two&gt;<br>three <b>x</b>y</p>tail<ul><li>a<li>b</ul><script>1<2</script><div class="comments"><p>c</p></div><form><p>q</form>end<!-- c --><style>p{}')
-    assert got == (["One <two> three xy", "tail", "a", "b", "end"], False)
-    assert html_extract.lines_of(ARTICLE) == (["T & t", "one two"], True)
-    assert html_extract.lines_of("") == ([], False) and html_extract.lines_of("a<b") == (["a<b"], False)
+    assert got == ["One <two> three xy", "tail", "a", "b", "end"]
+    assert html_extract.lines_of(ARTICLE) == ["T & t", "one two"]
+    assert html_extract.lines_of("") == [] and html_extract.lines_of("a<b") == ["a<b"]
+
+
+def test_markup_names_candidates_only():
+    got = html_extract.lines_of
+    assert got('<main><h1>Real</h1><p>body text</p><article class="teaser">..related card..</article></main>') == ["Real", "body text"]
+    assert got("<main><h1>Real</h1><p>a body text of some length</p><article>card</article></main>") == ["Real", "a body text of some length"]
+    assert got('<article><p>one</p><div class="share-of-market"><p>real para</p></div><p id="ad-hoc">two</p><p class="has-sidebar">three</p></article>') == ["one", "real para", "two", "three"]
+    assert got('<article><p>one</p><div class="reader-feedback">wow</div><div class="mainNav">n</div><div class="ad-2">n</div></article>') == ["one"]
+    assert got("<main><article><p>first post</p></article><article><p>second post</p></article></main>") == ["first post", "second post"]
+    assert got('<article class="comment">me too</article><article>text</article><article class="hentry">more</article>') == ["text", "more"]
+
+
+def test_long_pages_are_aligned_in_halves(monkeypatch):
+    rng = random.Random(11)
+    monkeypatch.setattr(html_extract, "CELLS", 6)
+    for _ in range(300):
+        a, b = ([rng.randint(0, 5) for _ in range(rng.randint(0, 30))] for _ in "ab")
+        d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                d[i + 1][j + 1] = d[i][j] + 1 if x == y else max(d[i][j + 1], d[i + 1][j])
+        taken = html_extract.shared_lines(a, b)
+        rest = iter(b)
+        assert sum(taken) == d[-1][-1] and all(x in rest for x, t in zip(a, taken) if t)
+    monkeypatch.undo()
+    many = [*range(30_000)]
+    rng.shuffle(many)
+    assert sum(html_extract.shared_lines(many[:15_000] + [1], [2] + many[:14_000])) >= 14_000
+
+
+def test_whole_hosts_against_brute_force(spark):
+    """Pairs and aligns every page of every host one by one; shared lines are unique in a page."""
+    rng, rows = random.Random(12), []
+    for host in range(4):
+        site = [f"site {host} {i}" for i in range(8)]
+        for page in range(25):
+            lines = sorted(rng.sample(site, rng.randint(2, 8)))  # in one order on all pages, so that the alignment is unique
+            k = len(lines) // 2
+            top, inside, end = lines[:k], lines[k : k + 1], lines[k + 1 :]
+            own = [f"own {host} {page} {i} " + "x" * 40 for i in range(rng.randint(1, 4))]
+            tag = ("div", "main", "article")[page % 3]
+            body = f"<{tag}>" + "".join(f"<p>{x}</p>" for x in own + inside) + f"</{tag}>"
+            html = "".join(f"<p>{x}</p>" for x in top) + body + "".join(f"<footer>{x}</footer>" for x in end)
+            rows.append((len(rows), f"http://h{host}.example/{rng.choice('ab')}/{rng.randint(0, 99)}", html, top, own + inside, end, tag))
+    want = {}
+    for host in range(4):
+        mine = sorted((r for r in rows if r[1].startswith(f"http://h{host}.")), key=lambda r: (r[1], r[0]))
+        for i, (pid, url, _, top, body, end, tag) in enumerate(mine):
+            alike = lambda j: -1 if not 0 <= j < len(mine) else len(__import__("os").path.commonprefix([url[17:], mine[j][1][17:]]))  # noqa: B023, E731
+            o = mine[i - 1] if alike(i - 1) >= alike(i + 1) else mine[i + 1]
+            other = {*o[3], *o[4], *o[5]}
+            want[pid] = "\n\n".join(x for x in (top + body if tag == "div" else body) if tag == "article" or x not in other)
+    frame = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(frame).collect()}
+    assert got == want
 
 
 def test_shared_lines_is_a_longest_common_subsequence():
@@ -154,6 +209,22 @@ def test_neighbours_recall_and_ties(spark):
     assert ann.search(frame.limit(0), lambda i: i % 50 == 0).count() == 0
 
 
+def test_every_table_is_partitioned_and_parts_may_be_parted(spark):
+    rng = np.random.default_rng(14)
+    centres = rng.normal(size=(64, 24))
+    x = centres[rng.integers(0, 64, 3000)] + 0.3 * rng.normal(size=(3000, 24))
+    frame = spark.createDataFrame([(i, v.tolist(), "s", 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, score string, part int")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit[::50] @ unit.T
+    near[np.arange(60), np.arange(0, 3000, 50)] = -9
+    fifth = np.sort(near, axis=1)[:, -5]
+    for settings, parts in ((ann.Settings(), 8), (ann.Settings(rows_a_part=100, most_parts=4, sub_sample=512), 32)):
+        found, router, scanned = ann.search_with_router(frame, lambda i: i % 50 == 0, settings=settings)
+        got = found.toPandas()
+        assert router.parts == parts and router.probes < parts and scanned <= 1 / 3
+        assert (got["score"].to_numpy() >= fifth[got["query_id"] // 50] - 1e-12).mean() >= 0.9 and len(got) == 300
+
+
 def test_balanced_parts():
     x = np.random.default_rng(5).normal(size=(512, 8))
     label = ann.balanced_parts(ann.neighbour_graph(x / np.linalg.norm(x, axis=1, keepdims=True), 8), 3)

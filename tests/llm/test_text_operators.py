@@ -137,6 +137,18 @@ def test_mix_takes_prefixes_of_seeded_epochs(spark, none):
     assert mixing.select(none, mixing.plan(none.selectExpr("doc_id", "'d' as domain", "lang", "source", "0L as n_tokens"), mix), mix, mixing.leaf_columns(none, F.lit("d"))[1:]).count() == 0
 
 
+def test_mix_keeps_columns_of_any_name(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, "w " * (i % 9) + "x" * (100_000 if i == 3 else 1), "en", "s", i, "cut", 7) for i in range(50)], "doc_id long, text string, lang string, source string, full long, cut string, epoch long")
+    mix = mixing.Mix(budget_num=3, budget_den=2, max_epochs=3)
+    leaf = mixing.leaf_columns(docs, F.lit("d"))
+    leaves = mixing.plan(docs.select(*leaf, mixing.tokens(F.col("text")).alias("n_tokens")), mix)
+    got = mixing.select(docs, leaves, mix, leaf[1:])
+    assert got.columns == [*docs.columns, "epoch_"] and got.where("epoch = 7 and cut = 'cut' and full = doc_id").count() == got.count() >= 50
+    assert mixing.select(docs, leaves, mix, leaf[1:], with_epoch=False).columns == docs.columns
+
+
 def test_two_stage_suffixes_and_prefixes():
     rng = random.Random(6)
     for _ in range(150):
@@ -176,6 +188,46 @@ def test_suffix_dedup_against_brute_force(spark, none, monkeypatch):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_suffix_dedup_tells_rows_apart_by_their_texts(spark, monkeypatch):
+    rng = random.Random(17)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = word(400)
+    # null and equal ids, 1000 equal rows, parts of them elsewhere, clashing names
+    texts = [shared[:360] + word(300), word(300) + shared[30:], *([word(260)] * 1000), shared]
+    rows = [(None, t, "k", [1], "s") for t in texts[:2]] + [(None, t, "k", [1], "s") for t in texts[2:]] + [(5, word(250), "k", [1], "s"), (5, word(250), "k", [1], "s"), (5, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, kept string, spans array<long>, ta string")
+    want = Counter((r[0], *x) for r, x in zip(rows, brute_removed([(r[1] or "").encode() for r in rows], 200)))
+    got = suffix_dedup.remove_repeats(frame).collect()
+    assert Counter((r["doc_id"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == want
+    left = suffix_dedup.without_repeats(frame)
+    assert left.columns == frame.columns and left.where("ta = 's' and kept = 'k'").count() == len(rows) - 1
+    # equal 32-bit hashes under null ids: different texts stay different
+    monkeypatch.setattr(suffix_dedup, "ARRAY_BYTES", 700)  # many flushes
+    assert Counter((r["doc_id"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(frame).collect()) == want
+
+
+def test_null_ids_of_equal_murmur_hash_keep_their_bytes(spark):
+    from pyspark.sql import functions as F
+
+    frame = spark.range(150_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws(" ", *(F.md5(F.concat(F.col("id").cast("string"), F.lit(f"/{i}"))) for i in range(8))).alias("text"))
+    twins = frame.withColumn("h", F.hash("text")).withColumn("n", F.count("*").over(__import__("pyspark").sql.Window.partitionBy("h"))).where("n > 1").select("doc_id", "text")
+    twins = spark.createDataFrame(twins.collect(), twins.schema)
+    assert twins.count() >= 2 and suffix_dedup.remove_repeats(twins).where("n_removed > 0").count() == 0
+
+
+def test_very_long_text_with_passages_over_slice_borders(spark):
+    rng = np.random.default_rng(3)
+    raw = rng.integers(97, 123, 3 << 20).astype(np.uint8)
+    raw[suffix_dedup.SLICE - 150 : suffix_dedup.SLICE + 150] = raw[2_500_000:2_500_300]
+    raw[10:309] = raw[1_700_000:1_700_299]
+    raw[40_000:40_199] = raw[50_000:50_199]  # too short by a byte: the bytes around differ
+    raw[[39_999, 40_199, 49_999, 50_199]] = [97, 97, 98, 98]
+    frame = spark.createDataFrame([(1, raw.tobytes().decode()), (2, raw[3_000_000:3_000_250].tobytes().decode())], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in suffix_dedup.remove_repeats(frame).collect()}
+    s = suffix_dedup.SLICE
+    assert got == {1: [[10, 309], [s - 150, s + 150], [1_700_000, 1_700_299], [2_500_000, 2_500_300], [3_000_000, 3_000_250]], 2: [[0, 250]]}
+
+
 def brute_fingerprint(text, k):
     import xxhash
 
@@ -221,6 +273,47 @@ def test_large_groups_are_searched_completely(monkeypatch):
         assert set(a.tolist()) | set(b.tolist()) == near and len(a) < n
 
 
+def test_hot_keys_are_dealt_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 62, 30)
+    fps = np.unique(np.concatenate([base, *(base ^ (np.int64(1) << rng.integers(0, 62, 30)) ^ (np.int64(1) << rng.integers(0, 62, 30)) for _ in range(20)), np.int64(7) << 40 | np.arange(200)]))
+    frame = spark.createDataFrame([(int(f),) for f in fps], "fp long")
+    near = np.bitwise_count((fps[:, None] ^ fps[None, :]).view(np.uint64)) <= 4
+    group = np.arange(len(fps))
+    for _ in range(len(fps)):
+        new = np.array([group[row].min() for row in near])
+        if (new == group).all():
+            break
+        group = new
+    for hot in (1 << 17, 5):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        roots = {r["node"]: r["root"] for r in components(simhash.links(frame, 4)).collect()}
+        assert [roots.get(int(f), int(f)) for f in fps] == [int(fps[g]) for g in group]
+    with pytest.raises(ValueError, match="max_bits"):
+        simhash.links(frame, 12)
+
+
+def test_keep_one_tells_rows_apart_by_id_and_words(spark):
+    rows = [(1, "a b c d e f g", 1, "p"), (1, "wholly other words in this one here", 2, "p"), (1, "A b  c d e f g", 3, "p"), (None, "not seen before", 4, "p"), (None, "x y z", 5, "p"), (None, "x y z", 5, "p"), (3, "x y z", 6, "p"), (3, "x y z", 7, "p")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, k long, node string")
+    got = simhash.keep_one(frame)
+    assert got.columns == frame.columns
+    found = Counter((r["doc_id"], " ".join(r["text"].lower().split())) for r in got.collect())
+    assert found == {(1, "a b c d e f g"): 1, (1, "wholly other words in this one here"): 1, (None, "not seen before"): 1, (3, "x y z"): 1}
+
+
+def test_large_group_elects_leaders_in_parts(spark, monkeypatch):
+    rng, texts = random.Random(15), {}
+    monkeypatch.setattr(simhash, "GROUP", 20)
+    monkeypatch.setattr(simhash, "LEADERS", 3)
+    templates = [[f"t{t}w{i}" for i in range(120)] for t in range(3)]
+    for i in range(240):
+        w = list(templates[i % 3])
+        w[rng.randrange(120)] = f"c{i}"
+        texts[i] = " ".join(w)
+    assert len(assert_kept(spark, texts)) == 3
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, x) for x in range(101, 130)] + [(129, 39), (500, 500), (None, 3), (201, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -1,16 +1,18 @@
 """Removal of repeated passages by two-stage suffix sorting, over any number of documents.
 
 A byte goes if a string of `length` bytes that covers it also starts anywhere else, in the
-same or in another document. Every window of `length` bytes has an anchor: the least hash of
-its k-byte grams. Equal windows have equal anchors, so
+same or in another document. Texts that are equal as a whole are found first, by a 128-bit
+hash: all their strings start elsewhere, and one of them goes on for the others. Every window
+of `length` bytes has an anchor: the least hash of its k-byte grams. Equal windows have equal
+anchors, so
 
 1. every text is cut into segments, runs of windows that share the place of their anchor (at
    most length - k + 1, about 90), and anchors that occur once in the corpus are dropped with their segments;
-2. segments equal as a whole are counted and go on as one, with their number as weight;
-3. of anchors with several different segments the bytes are cut out and dealt by anchor; each
-   task builds suffix arrays of whole anchors: suffixes smaller than their successors are
-   sorted directly, the rest induced by bucket scans, and common prefixes of neighbours mark
-   the windows that stand twice or more;
+2. of segments with equal anchors and equal hashes of all their bytes two go on, at most;
+3. the bytes of these are cut out and dealt by anchor; each task compares the two, builds
+   suffix arrays of whole anchors: suffixes smaller than their successors are sorted directly,
+   the rest induced by bucket scans, and common prefixes of neighbours mark the windows that
+   stand twice or more. So every window that goes is one of at least two whose bytes were compared;
 4. what was found goes back to each segment's places, and the texts are cut.
 
 An anchor with very many different segments is dealt in salted parts. Each part marks what
@@ -18,9 +20,9 @@ it finds by itself; of windows it finds but once, and of one of each it finds of
 are counted over the parts. So no anchor is gathered in one task, and nothing is capped.
 
 Defined results: null text is the empty text; texts under `length` bytes keep everything;
-strings are judged on the input. Two rows of equal id and text are two places of one text
-and lose it all. Null ids are ids like any other. Spans lie between bytes; text_of() drops
-what is left of a character that a span has cut.
+strings are judged on the input. Rows of equal text lose it all, whatever their ids; ids, null
+or not, say nothing about a row. Spans lie between bytes; without_repeats() drops what is left of a
+character that a span has cut. Columns may have any names.
 """
 
 from __future__ import annotations
@@ -33,11 +35,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, small_batches, written
+from .common import discard, map_arrow, small_batches, written
 from .repeats import common_prefix_at_least, segments, two_stage_suffixes
 
 LENGTH, GRAM = 200, 24
@@ -86,18 +88,37 @@ def text_segments(texts: list[bytes], length: int, gram: int, hashed: bool = Tru
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+#: What texts are told apart by: two 64-bit hashes of their bytes.
+KEY = ("ta", "tb")
+
+
+def _key(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("ta"), F.xxhash64(F.lit("b"), text).alias("tb")]
+
+
+def distinct_texts(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(ta, tb, text packed) of every distinct text and (ta, tb) of those that stand there more than once.
+
+    Texts that stand there once are not shuffled, unless Spark finds the others too many to
+    send around; copies meet in a partial aggregation.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.hash(text).alias("h"), text.alias("text"))
+    rows = docs.select(*_key(text), text.alias("text"))
+    copied = written(rows.groupBy(*KEY).agg(F.count("*").alias("c")).where("c > 1").select(*KEY), "copied")
+    once = rows.join(copied, list(KEY), "left_anti")
+    first = rows.join(copied, list(KEY), "left_semi").groupBy(*KEY).agg(F.first("text").alias("text"))
+    return written(_packed(once.unionByName(first)), "texts"), copied
 
 
-def _segments(keyed: DataFrame, length: int, gram: int, places: bool) -> DataFrame:
-    """(m) of every segment; with places (m, g, id, h, s, n, o)."""
-    schema = T.StructType([T.StructField("m", _L)] + ([T.StructField("g", _L), *keyed.schema[:2], *(T.StructField(x, _I) for x in "sno")] if places else []))
+def _segments(texts: DataFrame, length: int, gram: int, places: bool) -> DataFrame:
+    """(m) of every segment; with places (m, g, ta, tb, s, n, o)."""
+    schema = T.StructType([T.StructField("m", _L)] + ([T.StructField("g", _L), *texts.schema[:2], *(T.StructField(x, _I) for x in "sno")] if places else []))
 
     def make():
+        unpack = zstandard.ZstdDecompressor().decompress
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            m, g, who, s, n, o = text_segments([t.encode() for t in batch.column(2).to_pylist()], length, gram, places)
+            m, g, who, s, n, o = text_segments([unpack(t) for t in batch.column(2).to_pylist()], length, gram, places)
             if not places:
                 return pa.RecordBatch.from_arrays([pa.array(m)], names=["m"])
             who = pa.array(who)
@@ -105,17 +126,19 @@ def _segments(keyed: DataFrame, length: int, gram: int, places: bool) -> DataFra
 
         return step
 
-    return map_arrow(keyed, make, schema)
+    return map_arrow(texts, make, schema)
 
 
-def repeated_places(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """(m, g, id, h, s, n, o): segments whose anchor occurs twice or more in the corpus.
+def repeated_places(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(m, g, ta, tb, s, n, o): segments whose anchor occurs twice or more in the distinct texts.
 
     The anchors are written first, so the join deals both sides itself and can split an
     anchor that very many texts hold.
     """
-    often = _segments(keyed, length, gram, False).groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m")
-    return _segments(keyed, length, gram, True).join(written(often, "repeated-anchors"), "m")
+    often = written(_segments(texts, length, gram, False).groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m"), "repeated-anchors")
+    out = written(_segments(texts, length, gram, True).join(often, "m"), "repeated-places")
+    discard(often)
+    return out
 
 
 def _bits(runs: np.ndarray) -> bytes:
@@ -185,10 +208,11 @@ _MARKED = T.StructType([T.StructField("m", _L), T.StructField("g", _L), T.Struct
 
 
 def _mark(length: int, gram: int):
-    """Over rows (m, salt, salts, g, w, n, o, data) sorted by (m, salt): which windows are repeated.
+    """Over rows (m, salt, salts, g, w, n, o, data) sorted by (m, salt, g): which windows are repeated.
 
-    Of parts of a dealt anchor also `first` (bits: windows to be counted over the parts),
-    their 16-byte prints and their weights within the part.
+    A kind of segment (m, g) has a row, or two adjacent ones from different places; w is how
+    many places a row stands for. Of parts of a dealt anchor also `first` (bits: windows to
+    be counted over the parts), their 16-byte prints and their weights within the part.
     """
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
@@ -200,8 +224,12 @@ def _mark(length: int, gram: int):
             parts.append((b - a, data[a : b + length - 1], w, groups.setdefault((m, salt), len(groups))))
         again = {i: (a, b, *x) for (i, a, b), x in zip(looked, _sorted_groups(parts, length))}
         out, met = [], set()
-        for i, (m, _, salts, g, w, n, _, data) in enumerate(rows):
-            runs = np.full(n, w > 1)
+        for i, (m, _, salts, g, _, n, _, data) in enumerate(rows):
+            if i and rows[i - 1][0] == m and rows[i - 1][3] == g:
+                if rows[i - 1][7] != data:
+                    raise ValueError(f"different bytes of equal hash {g} at anchor {m}")
+                continue
+            runs = np.zeros(n, bool)
             first = prints = weights = None
             if i in again:
                 a, b, number, weight = again[i]
@@ -303,58 +331,56 @@ def _cut(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def spans_of(size: int, start: np.ndarray, windows: np.ndarray, runs: list[bytes | None], length: int) -> np.ndarray:
-    """Maximal removed [start, end) spans of a text of `size` bytes from its segments (runs None: all windows)."""
+def spans_of(size: int, start: np.ndarray, windows: np.ndarray, runs: list[bytes], length: int) -> np.ndarray:
+    """Maximal removed [start, end) spans of a text of `size` bytes from its segments."""
     grow = np.zeros(size + 1, np.int64)
-    whole = np.array([r is None for r in runs])
-    np.add.at(grow, start[whole], 1)
-    np.add.at(grow, start[whole] + windows[whole] + length - 1, -1)
-    if not whole.all():
-        part = np.flatnonzero(~whole)
-        bits = [np.flatnonzero(np.unpackbits(np.frombuffer(runs[i], np.uint8), count=int(windows[i]), bitorder="little")) + start[i] for i in part.tolist()]
-        at = np.concatenate(bits)
-        np.add.at(grow, at, 1)
-        np.add.at(grow, at + length, -1)
+    at = np.concatenate([np.flatnonzero(np.unpackbits(np.frombuffer(r, np.uint8), count=int(w), bitorder="little")) + a for a, w, r in zip(start, windows, runs)])
+    np.add.at(grow, at, 1)
+    np.add.at(grow, at + length, -1)
     gone = np.diff(np.concatenate([[0], np.cumsum(grow)[:-1] > 0, [0]]))
     return np.stack([np.flatnonzero(gone == 1), np.flatnonzero(gone == -1)], axis=1)
 
 
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, carried columns, n_bytes, n_removed, n_spans, kept binary, spans array) of every document."""
+    """(id, carried columns, n_bytes, n_removed, n_spans, kept binary, spans array, copied) of every document.
+
+    `copied` says that the whole text stands there more than once.
+    """
     small_batches(docs.sparkSession)
-    keyed = _keyed(docs, id_col, text_col)
-    places = written(repeated_places(keyed, length, gram), "repeated-places")
-    # any place of a kind will do: its bytes are the same everywhere
-    kinds = places.groupBy("m", "g").agg(F.count("*").alias("w"), *(F.first(c).alias(c) for c in ("id", "h", "s", "n", "o")))
+    texts, copied = distinct_texts(docs, text_col)
+    places = repeated_places(texts, length, gram)
+    # any two places of a kind will do: the bytes are the same everywhere
+    spot = (*KEY, "s", "n", "o")
+    kinds = places.groupBy("m", "g").agg(F.count("*").alias("w"), *(F.first(c).alias(c) for c in spot), *(F.last(c).alias(f"l_{c}") for c in (*KEY, "s")))
     kinds = written(kinds, "segment-kinds")
-    several = kinds.groupBy("m").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + (length - 1)).alias("bytes"))
-    several = written(several.where("kinds > 1").select("m", F.expr(f"1 + bytes div {PART_BYTES}").alias("salts")), "several-kinds")
-    kinds = kinds.join(several, "m", "left")
-    alone = kinds.where("salts is null").select("m", "g", F.lit(None).cast("binary").alias("runs"))
-
+    large = kinds.groupBy("m").agg(F.sum(F.col("n") + (length - 1)).alias("bytes")).where(F.col("bytes") >= PART_BYTES)
+    large = written(large.select("m", F.expr(f"1 + bytes div {PART_BYTES}").alias("parts")), "large-anchors")
+    kinds_dealt = kinds.join(large, "m", "left").withColumn("salts", F.coalesce("parts", F.lit(1).cast("long")))
+    head = kinds_dealt.select(*KEY, F.struct("m", "g", F.lit(1).cast("long").alias("w"), "s", "n", "o", "salts").alias("x"))
+    tail = kinds_dealt.where("w > 1").select(*(F.col(f"l_{c}").alias(c) for c in KEY), F.struct("m", "g", (F.col("w") - 1).alias("w"), F.col("l_s").alias("s"), "n", "o", "salts").alias("x"))
+    # as many as the text's length allows, whatever the number of copies
+    wanted = head.unionByName(tail).groupBy(*KEY).agg(F.collect_list("x").alias("spans"))
+    cut = _cut(texts.join(wanted, list(KEY)).select("text", "spans"), length)
+    marked = written(cut.repartition("m", "salt").sortWithinPartitions("m", "salt", "g").mapInArrow(_mark(length, gram), _MARKED), "marked")
+    found = marked.where("first is null").select("m", "g", "runs").unionByName(_across(marked.where("first is not null")))
+
+    back = places.join(found, ["m", "g"]).join(copied, list(KEY), "left_anti").groupBy(*KEY).agg(F.collect_list(F.struct("s", "n", "runs")).alias("found"))
+    back = written(back.select(*KEY, "found", F.lit(False).alias("copied")).unionByName(copied.select(*KEY, F.lit(None).cast(back.schema["found"].dataType).alias("found"), F.lit(True).alias("copied"))), "found")
+    discard(texts, places, kinds, large, marked)
     text = F.coalesce(F.col(text_col), F.lit(""))
     held = [f"c{i}" for i in range(1 + len(carry))]
-    source = docs.select(*(F.col(c).alias(x) for c, x in zip((id_col, *carry), held)), F.col(id_col).alias("id"), F.hash(text).alias("h"), text.alias("text"))
-    wanted = kinds.where("salts is not null").select("id", "h", F.struct("m", "g", "w", "s", "n", "o", "salts").alias("x")).groupBy("id", "h").agg(F.collect_list("x").alias("spans"))
-    wanted = wanted.select(F.col("id").alias("wid"), F.col("h").alias("wh"), "spans").hint("shuffle_hash")
-    here = F.col("id").eqNullSafe(F.col("wid")) & (F.col("h") == F.col("wh"))
-    cut = _cut(_packed(keyed).join(wanted, here).dropDuplicates(["id", "h"]).select("text", "spans"), length)
-    marked = cut.repartition("m", "salt").sortWithinPartitions("m", "salt").mapInArrow(_mark(length, gram), _MARKED)
-    marked = written(marked, "marked")
-    found = alone.unionByName(marked.where("first is null").select("m", "g", "runs")).unionByName(_across(marked.where("first is not null")))
-
-    back = places.join(found, ["m", "g"]).groupBy("id", "h").agg(F.collect_list(F.struct("s", "n", "runs")).alias("found"))
-    back = back.select(F.col("id").alias("wid"), F.col("h").alias("wh"), "found").hint("shuffle_hash")
-    rows = _packed(source).join(back, here, "left")
-    rows = rows.select(*held, "text", "found")
+    source = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip((id_col, *carry), held)), *_key(text), text.alias("text"))
+    rows = _packed(source).join(back, list(KEY), "left").select(*held, "text", "found", F.coalesce("copied", F.lit(False)).alias("copied"))
     schema = T.StructType(
-        [*rows.schema[: len(held)], T.StructField("n_bytes", _L), T.StructField("n_removed", _L), T.StructField("n_spans", _L), T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(T.ArrayType(_L)))]
+        [*rows.schema[: len(held)], T.StructField("n_bytes", _L), T.StructField("n_removed", _L), T.StructField("n_spans", _L), T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(T.ArrayType(_L))), T.StructField("copied", T.BooleanType())]
     )
 
     def make():
         unpack = zstandard.ZstdDecompressor().decompress
 
-        def one(data: bytes, start: np.ndarray, windows: np.ndarray, runs: list) -> tuple:
+        def one(data: bytes, start: np.ndarray, windows: np.ndarray, runs: list, copied: bool) -> tuple:
+            if copied and len(data) >= length:
+                return len(data), len(data), 1, b"", [[0, len(data)]]
             if not runs:
                 return len(data), 0, 0, data, []
             spans = spans_of(len(data), start, windows, runs, length)
@@ -368,14 +394,14 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, i
             flat, size = found.flatten(), pc.fill_null(pc.list_value_length(found), 0).to_numpy()
             start, windows, runs = flat.field("s").to_numpy(), flat.field("n").to_numpy(), flat.field("runs").to_pylist()
             ends = np.cumsum(size).tolist()
-            got = zip(*(one(unpack(t), start[a:b], windows[a:b], runs[a:b]) for t, a, b in zip(batch.column(k).to_pylist(), [0, *ends], ends)))
+            got = zip(*(one(unpack(t), start[a:b], windows[a:b], runs[a:b], c) for t, c, a, b in zip(batch.column(k).to_pylist(), batch.column(k + 2).to_pylist(), [0, *ends], ends)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.list_(pa.int64())))
-            return pa.RecordBatch.from_arrays([*batch.columns[:k], *(pa.array(list(x), t) for x, t in zip(got, kinds))], names=schema.names)
+            return pa.RecordBatch.from_arrays([*batch.columns[:k], *(pa.array(list(x), t) for x, t in zip(got, kinds)), batch.column(k + 2)], names=schema.names)
 
         return step
 
     out = map_arrow(rows, make, schema)
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate((id_col, *carry))), "n_bytes", "n_removed", "n_spans", "kept", "spans")
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate((id_col, *carry))), "n_bytes", "n_removed", "n_spans", "kept", "spans", "copied")
 
 
 def without_repeats(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
@@ -383,10 +409,12 @@ def without_repeats(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc
 
     What is left of a character that a span has cut goes too. Every document stays.
     """
-    rows = remove_repeats(docs, length=length, id_col=id_col, text_col=text_col, carry=tuple(c for c in docs.columns if c != id_col))
+    held = [f"x{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, held))
+    rows = remove_repeats(docs.toDF(*held), length=length, id_col=at[id_col], text_col=at[text_col], carry=tuple(h for h in held if h != at[id_col]))
     text = F.decode(_whole_characters("kept"), "UTF-8")
-    out = {c: F.col(c) for c in docs.columns} | {text_col: F.when(F.col(text_col).isNotNull(), text)}
-    if size_col in docs.columns:
+    out = {c: F.col(h) for c, h in at.items()} | {text_col: F.when(F.col(at[text_col]).isNotNull(), text)}
+    if size_col in at:
         out[size_col] = F.length(text).cast("long")
     return rows.select(*(x.alias(c) for c, x in out.items()))
 
