@@ -1,30 +1,37 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Each page becomes lines, one for every block of text in page order; menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and comment sections go by their
-tags, roles and class names. Pages of one host are put in the order of their URL paths and
-each is paired with the neighbour whose path shares the longer beginning (the earlier one if
-equal). The pair's lines are aligned by longest common subsequence, and lines that both have
-are the site's, not the page's: they are deleted.
-
-Where a page itself names its article (<article>, else <main>), that container decides: its
-lines are the text and cannot be deleted, for two addresses of one article share all of it.
-Differencing decides for pages that name none; a page all of whose lines are shared is a
-copy of its neighbour, and keeps them.
+Each page becomes lines, one for every block of visible text in page order, menus and footers
+included. Pages of one host are put in the order of their URL paths and each is paired with
+the neighbour whose path shares the longer beginning (the earlier one if equal). The pair's
+lines are aligned by longest common subsequence, and lines that both have are the site's,
+not the page's: they are deleted, wherever they stand.
+
+Markup only names candidates for what is left: lines inside menus, headers, footers,
+sidebars, notices, adverts, forms and comment sections (by tags, roles and class names) are
+none; where a page names its article (<article>, <main>), the containers that hold most of
+the text are. A class or id name counts only if all words of one of its tokens do (`main-nav`,
+but not `share-of-market`). An <article> is all the page's own, and neighbours quote each
+other: its lines stay. In a <main>, and on pages that name nothing, shared lines go, but two
+addresses of one text share all of it: where more than half of a <main> is shared, or every
+line of the page, the neighbour is a copy and they stay.
 
 Defined results: null and empty html give the empty text; the only page of a host is not
 differenced; null URLs form one host of their own with empty paths, in the order of their
-ids. Repeated rows each give a row. Nothing is capped: every line of every page counts.
+ids. Repeated rows each give a row. Nothing is capped: every line of every page counts, and
+very long pages are aligned in halves, in memory that grows with their lines, not with the square.
 """
 
 from __future__ import annotations
 
 import html as html_lib
+import json
 import os
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,7 +41,7 @@ from .url_filter import host_of, path_of
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_NAME = re.compile(r"[a-z]+|[0-9]+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,56 +57,70 @@ BLOCKS = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 #: Words of class and id names that mark what is not the main text.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promotion banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs masthead topbar footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus replies respond share sharing social related recommended recommendations widget toolbar pagination pager search".split()
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs masthead topbar footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus replies respond responses feedback share sharing social related recommended recommendations teaser teasers widget toolbar pagination pager search".split()
 )
 #: As MARKS, but only outside the article, whose own header holds its title.
 HEADERS = frozenset("header head".split())
+#: The only marks that an article may carry and yet not be one.
+NO_ARTICLE = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related recommended teaser teasers card".split())
+#: Words that may stand beside a mark in one token without changing what it says.
+BESIDE = frozenset(
+    "site page main global local top bottom left right primary secondary sub side sticky fixed mobile desktop inner outer wrapper wrap container content box block area section list item items row bar panel unit slot zone group inline reader readers user users visitor visitors post posts article articles story stories blog entry link links button buttons icon icons form field thread body title text count header head small large big dark light wp js".split()
+)
+#: Rows times columns from which an alignment is halved.
+CELLS = 1 << 26
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
+def _says(value: str, marks: frozenset[str]) -> bool:
+    """Whether a token consists of marks, numbers and words that may stand beside them."""
+    for token in value.split():
+        words = [w.lower() for w in _NAME.findall(token)]
+        if any(w in marks for w in words) and all(w in marks or w in BESIDE or w.isdigit() for w in words):
+            return True
+    return False
+
+
 def _dropped(tag: str, attrs: str, inside: bool) -> bool:
     if tag in DROPPED or tag == "header" and not inside:
         return True
-    if not attrs or tag in ("html", "body", "article", "main") and "comment" not in attrs:
+    if not attrs or tag in ("html", "body"):
         return False
+    marks = NO_ARTICLE if tag in ("article", "main") else MARKS if inside else MARKS | HEADERS
     for name, *values in _ATTR.findall(attrs):
-        name, value = name.lower(), (values[0] or values[1] or values[2]).lower()
+        name, value = name.lower(), values[0] or values[1] or values[2]
         if name in ("class", "id"):
-            words = set(_NAME.findall(value))
-            if words & MARKS or not inside and words & HEADERS:
+            if _says(value, marks):
                 return True
-        elif name == "role" and value.strip() in ROLES or name == "hidden" or name == "style" and _HIDDEN.search(value):
+        elif name == "role" and value.strip().lower() in ROLES or name == "hidden" or name == "style" and _HIDDEN.search(value.lower()):
             return True
     return False
 
 
-def lines_of(page: str) -> tuple[list[str], bool]:
-    """The page's lines in order, and whether they are those of an article it names."""
-    lines, own, _ = parts_of(page)
-    return lines, own
-
-
-def parts_of(page: str) -> tuple[list[str], bool, list[str]]:
-    """lines_of(), and the lines in and around the article: what a neighbour is compared with."""
-    blocks: list[tuple[int, str]] = []  # 2: in an article, 1: in main, 0: elsewhere
-    stack: list[tuple[str, bool, int]] = []  # tag, dropped from here on, container
+def parts_of(page: str) -> list[tuple[int, str]]:
+    """The page's lines in order, each with its place: -1 marked as none of the main text, 2 * n or
+    2 * n + 1 the n-th article or main element (the innermost one), 0 elsewhere."""
+    blocks: list[tuple[int, str]] = []
+    stack: list[tuple[str, bool, int]] = []  # tag, marked from here on, container
     run: list[str] = []
-    level, off, at, n = 0, False, 0, len(page)
+    inside, off, at, n, made = 0, False, 0, len(page), 0
 
     def flush() -> None:
         if run:
             text = " ".join(html_lib.unescape("".join(run)).split())
             if text:
-                blocks.append((level, text))
+                blocks.append((-1 if off else inside, text))
             run.clear()
 
     def close(depth: int) -> None:
-        nonlocal level, off
+        nonlocal inside, off
+        if stack[-1][1] != (depth > 0 and stack[depth - 1][1]):
+            flush()
         del stack[depth:]
-        off, level = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        off, inside = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
 
     for m in iter(lambda: _TAG.search(page, at), None):
-        if not off and m.start() > at:
+        if m.start() > at:
             run.append(page[at : m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
@@ -129,17 +150,40 @@ def parts_of(page: str) -> tuple[list[str], bool, list[str]]:
             run.append(" ")
         if tag in VOID or attrs.endswith("/") and tag not in BLOCKS:
             continue
-        gone = off or _dropped(tag, attrs, level > 0)
+        gone = off or _dropped(tag, attrs, inside > 0)
         if gone and not off:
             flush()
-        level = max(level, {"article": 2, "main": 1}.get(tag, 0)) if not gone else level
+        if tag in ("article", "main") and not gone:
+            made += 1
+            inside = 2 * made + (tag == "main")
         off = gone
-        stack.append((tag, off, level))
-    if not off and at < n:
+        stack.append((tag, off, inside))
+    if at < n:
         run.append(page[at:])
     flush()
-    top = max((k for k, _ in blocks), default=0)
-    return [t for k, t in blocks if k == top], top > 0, [t for _, t in blocks]
+    return blocks
+
+
+def main_lines(blocks: list[tuple[int, str]], shared: list[bool]) -> list[bool]:
+    """Which lines are the main text, for lines that a neighbour shares or not."""
+    if all(shared):  # a copy of its neighbour, or no line at all
+        shared = [False] * len(blocks)
+    mass: dict[int, list[int]] = {}
+    for (where, text), s in zip(blocks, shared):
+        if where > 0:
+            own = mass.setdefault(where, [0, 0])
+            own[s] += len(text)
+    whole = {w for w, (a, b) in mass.items() if w % 2 == 0 or b > a}
+    weight = {w: a + b if w in whole else a for w, (a, b) in mass.items()}
+    most = max(weight.values(), default=0)
+    chosen = {w for w, x in weight.items() if 2 * x >= most}
+    return [w in chosen and (w in whole or not s) if most else w == 0 and not s for (w, _), s in zip(blocks, shared)]
+
+
+def lines_of(page: str) -> list[str]:
+    """The main text's lines of a page without neighbours."""
+    blocks = parts_of(page)
+    return [t for (_, t), keep in zip(blocks, main_lines(blocks, [False] * len(blocks))) if keep]
 
 
 def shared_lines(a: list[int], b: list[int]) -> list[bool]:
@@ -161,19 +205,38 @@ def shared_lines(a: list[int], b: list[int]) -> list[bool]:
     return taken
 
 
-def _aligned(a: list[int], b: list[int]) -> list[bool]:
+def _rows(a: list[int], b: list[int]):
+    """After each of a: the bit-parallel column over b, whose zero bits mark where the length grows."""
     where: dict[int, int] = {}
     for j, x in enumerate(b):
         where[x] = where.get(x, 0) | 1 << j
     full = (1 << len(b)) - 1
-    v, rows = full, []
+    v = full
     for x in a:
         u = v & where.get(x, 0)
         v = ((v + u) | (v - u)) & full
-        rows.append(v)
+        yield v
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of a and every beginning of b."""
+    v = (1 << len(b)) - 1
+    for v in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), count=len(b), bitorder="little")
+    return np.append(0, np.cumsum(1 - bits.astype(np.int64)))
+
+
+def _aligned(a: list[int], b: list[int]) -> list[bool]:
+    if len(a) > 1 and len(a) * len(b) > CELLS:
+        mid = len(a) // 2
+        cut = int((_lengths(a[:mid], b) + _lengths(a[mid:][::-1], b[::-1])[::-1]).argmax())
+        return _aligned(a[:mid], b[:cut]) + _aligned(a[mid:], b[cut:])
+    rows = list(_rows(a, b))
+    full = (1 << len(b)) - 1
     taken, j = [False] * len(a), len(b) - 1
     for i in range(len(a) - 1, -1, -1):
-        # zero bits mark where the length grows; go back to the last growth at or before j
+        # go back to the last growth at or before j
         low = ~rows[i] & ((1 << (j + 1)) - 1)
         if not low:
             break
@@ -191,50 +254,27 @@ def mark(lines: list[str]) -> list[int]:
 
 
 def parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(id, url, uid, host, path, own, lines, marks) of every page.
-
-    Lines are kept only of pages that name no article, hashes of the lines of all.
-    """
+    """(id, url, uid, host, path, blocks, marks) of every page: parts_of(), packed, and hashes of the lines."""
     source = pages.select(
         F.col(id_col), F.col(url_col), F.monotonically_increasing_id().alias("uid"),
         host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"),
         F.coalesce(F.col(html_col), F.lit("")).alias("html"),
     )
-    schema = T.StructType([*source.schema[:5], T.StructField("own", T.BooleanType()), T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("marks", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*source.schema[:5], T.StructField("blocks", T.BinaryType()), T.StructField("marks", T.ArrayType(T.LongType()))])
 
     def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = [parts_of(x) for x in batch.column(5).to_pylist()]
-            lines = pa.array([None if own else x for x, own, _ in got], pa.list_(pa.string()))
-            return pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([y for _, y, _ in got]), lines, pa.array([mark(x) for _, _, x in got], pa.list_(pa.int64()))], names=schema.names)
-
-        return step
-
-    return map_arrow(source, make, schema)
+        pack = zstandard.ZstdCompressor(level=3).compress
 
-
-def article_texts(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(id, url, text, n_chars, n_shared) of the pages that name their article."""
-    source = pages.select(F.col(id_col), F.col(url_col), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    schema = _result(source)
-
-    def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = [lines_of(x) for x in batch.column(2).to_pylist()]
-            texts = ["\n\n".join(x) for x, own in got if own]
-            kept = batch.filter(pa.array([own for _, own in got]))
-            return pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([0] * len(texts), pa.int64())], names=schema.names)
+            got = [parts_of(x) for x in batch.column(5).to_pylist()]
+            blocks = pa.array([pack(json.dumps(x, ensure_ascii=False).encode("utf-8", "surrogatepass")) for x in got], pa.binary())
+            return pa.RecordBatch.from_arrays([*batch.columns[:5], blocks, pa.array([mark([t for _, t in x]) for x in got], pa.list_(pa.int64()))], names=schema.names)
 
         return step
 
     return map_arrow(source, make, schema)
 
 
-def _result(rows: DataFrame) -> T.StructType:
-    """The extractor's columns, the first two as in rows."""
-    return T.StructType([*rows.schema[:2], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_shared", T.LongType())])
-
-
 def neighbours(sites: DataFrame, id_col: str) -> DataFrame:
     """(uid, host, path, prev, next): uid and path of the pages before and after, in each host's order.
 
@@ -272,26 +312,33 @@ def partners(near: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, text, n_chars, n_shared): the main text of every page, blocks joined by a blank line."""
+    """(id, url, text, n_chars, n_lines, n_shared, n_marked): the main text of every page, blocks joined by a blank line.
+
+    Of n_lines lines n_shared go that the neighbour shares, n_marked more go by markup alone.
+    """
     lines = written(parsed(pages, id_col, url_col, html_col), "page-lines")
-    unsure = lines.where(~F.col("own"))
-    pair = partners(neighbours(lines, id_col).join(unsure.where(F.size("lines") > 0).select("uid"), "uid", "left_semi"))
+    pair = partners(neighbours(lines, id_col))
     other = lines.select(F.col("uid").alias("partner"), F.col("marks").alias("other"))
-    rows = unsure.join(pair.join(other, "partner").select("uid", "other"), "uid", "left").select(id_col, url_col, "lines", "marks", "other")
-    schema = _result(rows)
+    pair = written(pair.join(other, "partner").select("uid", "other"), "page-partners")
+    rows = lines.join(pair, "uid", "left").select(id_col, url_col, "blocks", "marks", "other")
+    counts = ("n_chars", "n_lines", "n_shared", "n_marked")
+    schema = T.StructType([*rows.schema[:2], T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in counts)])
 
     def make():
-        def one(lines: list[str], marks: list[int], other: list[int] | None) -> tuple[str, int]:
-            taken = shared_lines(marks, other or [])
-            if all(taken):  # a copy of its neighbour, or no line at all
-                return "\n\n".join(lines), 0
-            return "\n\n".join(x for x, t in zip(lines, taken) if not t), sum(taken)
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        def one(packed: bytes, marks: list[int], other: list[int] | None) -> tuple:
+            blocks = json.loads(unpack(packed).decode("utf-8", "surrogatepass"))
+            shared = shared_lines(marks, other or [])
+            main = main_lines(blocks, shared)
+            text = "\n\n".join(t for (_, t), keep in zip(blocks, main) if keep)
+            by_site = sum(s and not k for s, k in zip(shared, main))
+            return text, len(text), len(blocks), by_site, len(blocks) - by_site - sum(main)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = [one(*x) for x in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
-            texts = [t for t, _ in got]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([k for _, k in got], pa.int64())], names=schema.names)
+            got = zip(*(one(*x) for x in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(x), f) for x, f in zip(got, (pa.string(), *[pa.int64()] * 4)))], names=schema.names)
 
         return step
 
-    return article_texts(pages, id_col, url_col, html_col).unionByName(map_arrow(rows, make, schema))
+    return map_arrow(rows, make, schema)
