@@ -3,8 +3,13 @@
 On a bounded sample: an exact neighbour graph, balanced partitioning of that graph
 (recursive bisection by its second eigenvector, cut at the median, refined by swaps of equal
 numbers), and a small softmax classifier trained on each vector's neighbours' partitions.
-All rows are placed in their likeliest partition; a query goes to its likeliest partitions,
-as many as the sample shows to be needed, and what it meets there is reranked exactly.
+Tables of every size are partitioned, in 8 parts at least (fewer only if there are too few
+rows to tell them apart); where one classifier's parts would hold too many rows, each part
+learns a classifier of its own, on a bounded sample of its rows, and a partition is a part of
+a part. All rows are placed in their likeliest partition; a query goes to its likeliest
+partitions, as many as the sample shows to be needed, and what it meets there is reranked
+exactly. How many that is depends on the data: isotropic random vectors have no partitions
+to learn, and most must be read for a high recall.
 
 Equal vectors are pre-aggregated: no answer needs more than the k + 1 smallest ids of one
 vector, and equal queries are searched once. Partitions are dealt in salted blocks of rows
@@ -18,6 +23,7 @@ takes part. Null ids take no part. Fewer candidates than k give all of them.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,18 +33,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, written
+from .common import map_arrow, small_batches, written
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds and aims; sample is the most rows that anything is fitted on."""
+    """Bounds and aims; sample is the most rows that one classifier is fitted on, most_parts its most parts."""
 
     sample: int = 4096
     graph_k: int = 10
     rows_a_part: int = 4000
+    least_parts: int = 8
     most_parts: int = 256
-    recall: float = 0.98
+    sub_sample: int = 1024
+    most_sub_parts: int = 64
+    recall: float = 0.95
     block_rows: int = 16_384
     block_queries: int = 4096
 
@@ -118,44 +127,110 @@ def logits(x: np.ndarray, w: list[np.ndarray]) -> np.ndarray:
     return np.maximum(x @ w[0] + w[1], 0) @ w[2] + w[3]
 
 
+def _log_shares(x: np.ndarray, w: list[np.ndarray]) -> np.ndarray:
+    z = logits(x, w)
+    z = z - z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
 @dataclass
 class Router:
-    """The classifier, how many partitions a query probes, and what the sample showed."""
+    """The classifiers, how many partitions a query probes, and what the sample showed.
+
+    subs has a classifier for each part of the first one, all with as many parts, or nothing.
+    """
 
     weights: list[np.ndarray] | None
     parts: int
     probes: int
     sample_recall: float
+    subs: list[list[np.ndarray]] | None = None
 
-    def ranked(self, x: np.ndarray) -> np.ndarray:
-        """Partitions of each unit vector, likeliest first."""
+    def ranked(self, x: np.ndarray, take: int | None = None) -> np.ndarray:
+        """The `take` likeliest partitions of each unit vector (all if None), likeliest first."""
         if self.weights is None:
             return np.zeros((len(x), 1), np.int64)
-        return np.argsort(-logits(x, self.weights), axis=1, kind="stable")
+        z = _log_shares(x, self.weights)
+        if self.subs:
+            z = np.concatenate([z[:, [p]] + _log_shares(x, w) for p, w in enumerate(self.subs)], axis=1)
+        if take == 1:
+            return z.argmax(axis=1)[:, None]
+        return np.argsort(-z, axis=1, kind="stable")[:, :take]
 
 
-def fit_router(x: np.ndarray, rows: int, k: int, s: Settings = Settings()) -> Router:
-    """From a sample of unit vectors and the number of rows to be placed."""
-    levels = max(0, min(int(np.log2(s.most_parts)), round(np.log2(max(1, rows) / s.rows_a_part)), int(np.log2(max(1, len(x) // 16)))))
-    if levels == 0:
-        return Router(None, 1, 1, 1.0)
+def _levels(rows: float, sample: int, least: int, most: int, rows_a_part: int) -> int:
+    """Bisections that give parts of about rows_a_part rows, within bounds and with 16 sampled rows a part."""
+    wanted = max(least, min(most, rows / rows_a_part))
+    return max(0, min(round(np.log2(wanted)), int(np.log2(max(1, sample // 16)))))
+
+
+def _learnt(x: np.ndarray, levels: int, s: Settings) -> tuple[list[np.ndarray], np.ndarray]:
+    """A classifier into 2 ** levels parts, and the neighbour graph it was learnt from."""
     graph = neighbour_graph(x, min(s.graph_k, len(x) - 1))
     label, parts = balanced_parts(graph, levels), 1 << levels
     target = np.zeros((len(x), parts))
     np.add.at(target, (np.repeat(np.arange(len(x)), graph.shape[1]), label[graph].ravel()), 1.0)
     target[np.arange(len(x)), label] += 1
-    made = Router(train_router(x, target / target.sum(1, keepdims=True)), parts, parts, 1.0)
-    ranked = made.ranked(x)
-    place = np.empty_like(ranked)
-    np.put_along_axis(place, ranked, np.arange(parts)[None, :].repeat(len(x), 0), axis=1)
+    return train_router(x, target / target.sum(1, keepdims=True)), graph
+
+
+def fit_router(x: np.ndarray, rows: int, k: int, s: Settings = Settings(), subs=None) -> Router:
+    """From a sample of unit vectors and the number of rows to be placed.
+
+    subs(router, levels) gives a classifier for each part, learnt from that part's rows; it is
+    asked only where most_parts parts would hold over rows_a_part rows each.
+    """
+    levels = _levels(rows, len(x), s.least_parts, s.most_parts, s.rows_a_part)
+    if levels == 0:
+        return Router(None, 1, 1, 1.0)
+    weights, graph = _learnt(x, levels, s)
+    made = Router(weights, 1 << levels, 1 << levels, 1.0)
+    more = _levels(rows / made.parts, s.sub_sample, 1, s.most_sub_parts, s.rows_a_part) if made.parts >= s.most_parts else 0
+    if more and subs:
+        made.subs = subs(made, more)
+        made.parts <<= more
     near = graph[:, : min(k, graph.shape[1])]
-    met = place[np.arange(len(x))[:, None], ranked[near, 0]]  # at which probe each neighbour is met
-    share = [(met < p).mean() for p in range(1, parts + 1)]
-    made.probes = next((p for p, r in enumerate(share, 1) if r >= s.recall and p > 1), parts)
+    hits, home = np.zeros(made.parts, np.int64), np.concatenate([made.ranked(x[i : i + 1024], 1)[:, 0] for i in range(0, len(x), 1024)])
+    for i in range(0, len(x), 256):
+        ranked = made.ranked(x[i : i + 256])
+        place = np.empty_like(ranked)
+        np.put_along_axis(place, ranked, np.arange(made.parts)[None, :].repeat(len(ranked), 0), axis=1)
+        met = place[np.arange(len(ranked))[:, None], home[near[i : i + 256]]]  # at which probe each neighbour is met
+        hits += np.bincount(met.ravel(), minlength=made.parts)
+    share = np.cumsum(hits) / near.size
+    made.probes = next((p for p, r in enumerate(share.tolist(), 1) if r >= s.recall and p > 1), made.parts)
     made.sample_recall = float(share[made.probes - 1])
     return made
 
 
+def sub_classifiers(index: DataFrame, s: Settings):
+    """For fit_router: classifiers of the parts, each learnt in a task of its own from sub_sample rows of smallest hash.
+
+    The driver gets most_parts sets of weights of a fixed size.
+    """
+
+    def learn(router: Router, levels: int) -> list[list[np.ndarray]]:
+        placed = _packed(index, router, 1, ["id"])
+        chosen = F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64("id", "v"), "id"))  # limited before its shuffle
+        some = placed.withColumn("n", chosen).where(F.col("n") <= s.sub_sample).select("part", "v")
+
+        def one(rows: pd.DataFrame) -> pd.DataFrame:
+            x = _unit(np.frombuffer(b"".join(rows["v"].sort_values()), np.float64).reshape(len(rows), -1))
+            w = _learnt(x, levels, s)[0] if len(x) >= 16 << levels else _blind(x.shape[1], 1 << levels)
+            return pd.DataFrame({"part": [rows["part"].iloc[0]], "w": [pickle.dumps([a.astype(np.float32) for a in w])]})
+
+        got = {r["part"]: [a.astype(np.float64) for a in pickle.loads(r["w"])] for r in some.groupBy("part").applyInPandas(one, "part int, w binary").collect()}
+        dim = router.weights[0].shape[0]
+        return [got.get(p) or _blind(dim, 1 << levels) for p in range(router.parts)]
+
+    return learn
+
+
+def _blind(dim: int, parts: int) -> list[np.ndarray]:
+    """A classifier that finds all parts equally likely, for parts of few rows: all of them go to the first."""
+    return [np.zeros((dim, 1)), np.zeros(1), np.zeros((1, parts)), np.zeros(parts)]
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     big = np.abs(x).max(axis=1, keepdims=True)
     x = x / big  # else squares of tiny or huge components are lost
@@ -183,7 +258,7 @@ def _packed(rows: DataFrame, router: Router, take: int, others: list[str]) -> Da
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             at = batch.schema.get_field_index("v")
             x = batch.column(at).flatten().to_numpy().reshape(batch.num_rows, -1)
-            part = router.ranked(_unit(x))[:, :take]
+            part = router.ranked(_unit(x), take)
             n = part.shape[1]
             keep = np.repeat(np.arange(batch.num_rows), n)
             cols = [batch.column(batch.schema.get_field_index(c)).take(pa.array(keep)) for c in others]
@@ -227,6 +302,11 @@ def _nearest(k: int):
 
 def search(rows: DataFrame, query_ids, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", settings: Settings = Settings()) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of every row for which query_ids(id column) holds."""
+    return search_with_router(rows, query_ids, k=k, id_col=id_col, vector_col=vector_col, settings=settings)[0]
+
+
+def search_with_router(rows: DataFrame, query_ids, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", settings: Settings = Settings()) -> tuple[DataFrame, Router, float]:
+    """search(), its router and the share of the distinct vectors that a query was compared with on average."""
     good = written(usable(rows, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v")), "vectors")
     first = F.row_number().over(Window.partitionBy("v").orderBy("id"))  # limited before its shuffle
     index = written(good.withColumn("n", first).where(F.col("n") <= k + 1).drop("n"), "index")
@@ -234,12 +314,17 @@ def search(rows: DataFrame, query_ids, *, k: int = 5, id_col: str = "vec_id", ve
     queries = written(asked.groupBy("v").agg(F.min("id").alias("qid")), "queries")
     sample = index.orderBy(F.xxhash64("id", "v"), "id").limit(settings.sample).collect()
     n = index.count()
-    router = Router(None, 1, 1, 1.0) if not sample else fit_router(_unit(np.array([r["v"] for r in sorted(sample)])), n, k, settings)
+    if sample:
+        small_batches(rows.sparkSession)
+        router = fit_router(_unit(np.array([r["v"] for r in sorted(sample)])), n, k, settings, sub_classifiers(index, settings))
+    else:
+        router = Router(None, 1, 1, 1.0)
     placed = written(_packed(index, router, 1, ["id"]), "placed")
     routed = written(_packed(queries, router, router.probes, ["qid"]), "routed")
-    # two rows a partition: bounded by most_parts
+    # two rows a partition: bounded by most_parts * most_sub_parts
     size = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    asks = {r["part"]: r["n"] for r in routed.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    asks: dict[int, int] = {r["part"]: r["n"] for r in routed.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    scanned = sum(m * asks.get(p, 0) for p, m in size.items()) / max(1, n * queries.count())
     blocks = [(p, -(-m // settings.block_rows), -(-asks.get(p, 0) // settings.block_queries)) for p, m in size.items()]
     table = rows.sparkSession.createDataFrame(blocks, "part int, row_blocks int, query_blocks int")
     left = placed.join(F.broadcast(table), "part").where("query_blocks > 0")
@@ -253,4 +338,4 @@ def search(rows: DataFrame, query_ids, *, k: int = 5, id_col: str = "vec_id", ve
     named = asked.join(queries, "v").select(F.col("id").alias("query_id"), "qid")
     others = named.join(found, "qid").where("query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id", "qid").orderBy(F.desc("score"), "vec_id"))
-    return others.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return others.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), router, scanned
