@@ -10,13 +10,15 @@ as long as the tokens before them are fewer than what is left of the budget.
 
 The prefix needs no global sort: tokens are summed by leaf and by the first hexadecimal
 digits of the order key, running sums over these few buckets find the bucket in which the
-budget ends, only that bucket's documents are ordered, and the last key taken is all that is
-sent back: the selection itself is a filter.
+budget ends, the same is done within that bucket by the next digits, only what is left is
+ordered (one in 16 ** (2 * bucket_hex) of a leaf), and the last key taken is all that is sent
+back: the selection itself is a filter.
 
 Defined results: null domain, language or source is the empty text; nodes without a weight
 have `other` as weight; weight 0 takes nothing. Null text has no tokens. Rows of equal id
 have equal keys and are taken together. Documents without tokens come with their epoch or
 prefix. An empty table gives no rows. Shares are rounded down, less than a token a node.
+Columns may have any names; where rows have an `epoch` already, the new one is `epoch_`.
 """
 
 from __future__ import annotations
@@ -114,23 +116,33 @@ def plan(measured: DataFrame, mix: Mix, id_col: str = "doc_id") -> DataFrame:
     table = [(*p, b, b // supply[p] if supply[p] else int(b > 0), b % supply[p] if supply[p] else 0) for p, b in given.items()]
     leaves = spark.createDataFrame(table, "domain string, lang string, source string, budget long, full int, rest long")
     keyed = measured.join(F.broadcast(leaves.where("rest > 0")), list(LEVELS)).select(*LEVELS, "rest", "n_tokens", order_key(mix.seed, F.col("full"), F.col(id_col)).alias("key"))
-    keyed = keyed.withColumn("bucket", F.substring("key", 1, mix.bucket_hex))
-    sums = keyed.groupBy(*LEVELS, "rest", "bucket").agg(F.sum("n_tokens").alias("n"))
-    run = Window.partitionBy(*LEVELS).orderBy("bucket")  # at most 16 ** bucket_hex rows a leaf
-    last = sums.withColumn("upto", F.sum("n").over(run)).where("upto >= rest and upto - n < rest").select(*LEVELS, "bucket", (F.col("upto") - F.col("n")).alias("before"))
-    inside = keyed.join(F.broadcast(last), [*LEVELS, "bucket"]).groupBy(*LEVELS, "rest", "before", "key").agg(F.sum("n_tokens").alias("n"))
+    inside = keyed.withColumn("before", F.lit(0).cast("long"))
+    for step in (1, 2):
+        bucketed = inside.withColumn("bucket", F.substring("key", 1, step * mix.bucket_hex))
+        sums = bucketed.groupBy(*LEVELS, "rest", "before", "bucket").agg(F.sum("n_tokens").alias("n"))
+        run = Window.partitionBy(*LEVELS).orderBy("bucket")  # at most 16 ** bucket_hex rows a leaf
+        last = sums.withColumn("upto", F.col("before") + F.sum("n").over(run)).where("upto >= rest and upto - n < rest")
+        last = last.select(*LEVELS, "bucket", (F.col("upto") - F.col("n")).alias("next"))  # a row a leaf
+        inside = bucketed.join(F.broadcast(last), [*LEVELS, "bucket"]).drop("bucket", "before").withColumnRenamed("next", "before")
+    inside = inside.groupBy(*LEVELS, "rest", "before", "key").agg(F.sum("n_tokens").alias("n"))
     run = Window.partitionBy(*LEVELS).orderBy("key")
     cuts = inside.withColumn("upto", F.col("before") + F.sum("n").over(run)).where("upto >= rest").groupBy(*LEVELS).agg(F.min("key").alias("cut"))
     return leaves.join(F.broadcast(cuts), list(LEVELS), "left").select(*LEVELS, "budget", "full", "cut")
 
 
-def select(rows: DataFrame, leaves: DataFrame, mix: Mix, levels: list[Column], id_col: str = "doc_id") -> DataFrame:
+def select(rows: DataFrame, leaves: DataFrame, mix: Mix, levels: list[Column], id_col: str = "doc_id", with_epoch: bool = True) -> DataFrame:
     """rows (every column) once for each epoch that takes them, with `epoch`; a filter, no shuffle.
 
-    levels: the columns that give rows their domain, language and source.
+    levels: the columns that give rows their domain, language and source. Without with_epoch
+    the columns are those of rows.
     """
-    placed = rows.withColumns({f"_{n}": c for n, c in zip(LEVELS, levels)})
+    held = [f"c{i}" for i in range(len(rows.columns))]
+    placed = rows.select(*(F.col(f"`{n}`").alias(h) for n, h in zip(rows.columns, held)), *(c.alias(f"_{n}") for n, c in zip(LEVELS, levels)))
     leaf = leaves.select(*(F.col(n).alias(f"_{n}") for n in LEVELS), "full", "cut")
     every = placed.join(F.broadcast(leaf), [f"_{n}" for n in LEVELS]).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("full"))))
-    taken = every.where((F.col("epoch") < F.col("full")) | (order_key(mix.seed, F.col("epoch"), F.col(id_col)) <= F.col("cut")))
-    return taken.select(*rows.columns, "epoch")
+    key = order_key(mix.seed, F.col("epoch"), F.col(held[rows.columns.index(id_col)]))
+    taken = every.where((F.col("epoch") < F.col("full")) | (key <= F.col("cut")))
+    name = "epoch"
+    while name in [n.lower() for n in rows.columns]:
+        name += "_"
+    return taken.select(*(F.col(h).alias(n) for n, h in zip(rows.columns, held)), *([F.col("epoch").alias(name)] if with_epoch else []))
