@@ -44,6 +44,8 @@ from .common import map_arrow, small_batches, work_path, written
 
 BLOCK_ROWS = 1000
 MIN_REVISIT_BYTES = 1000
+#: Archive bytes that one task reads back, and index blocks that one task writes.
+READ_BYTES, INDEX_BLOCKS = 8 << 20, 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: The engine reads no clock; archives carry this date unless told another.
 WARC_DATE = "1970-01-01T00:00:00Z"
@@ -145,7 +147,7 @@ def planned(pages: DataFrame, *, id_col: str, url_col: str, html_col: str, min_r
 def write_archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = MIN_REVISIT_BYTES, date: str = WARC_DATE) -> DataFrame:
     """Writes the archives; gives the manifest (key, page_id, file, offset, length), a written table."""
     spark = pages.sparkSession
-    small_batches(spark, 256)
+    small_batches(spark)
     base = work_path(spark, "warc")
     plan = planned(pages, id_col=id_col, url_col=url_col, html_col=html_col, min_revisit_bytes=min_revisit_bytes)
     schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("page_id", T.LongType()), T.StructField("file", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())])
@@ -191,7 +193,9 @@ def build_index(manifest: DataFrame, block_rows: int = BLOCK_ROWS) -> Index:
     """Sorts the manifest by range and writes blocks and directories to the shared folder."""
     spark = manifest.sparkSession
     base = work_path(spark, "capture-index")
-    ordered = manifest.repartitionByRange("key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
+    # numbers of tasks are given, for Spark would merge these small rows into one
+    tasks = 1 + manifest.count() // (INDEX_BLOCKS * block_rows)
+    ordered = manifest.repartitionByRange(tasks, "key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
     schema = T.StructType([T.StructField("first", T.StringType()), T.StructField("part", T.StringType()), T.StructField("blocks", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,16 +282,17 @@ class Reader:
         return read_record(self._range(*capture))
 
 
-def read_pages(wanted: DataFrame, index: Index, archive: str, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def read_pages(wanted: DataFrame, index: Index, archive: str, *, id_col: str = "page_id", url_col: str = "url", tasks: int | None = None) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each wanted row's capture.
 
-    Wanted rows are sorted by range like the index, so neighbours share blocks. Repeats of one
-    (url, id) take its captures in turn.
+    Wanted rows are sorted by range like the index, so neighbours share blocks, into as many
+    tasks as given: each row costs a range read. Repeats of one (url, id) take its captures in turn.
     """
     keys = wanted.select(F.col(url_col).alias("url"), F.col(id_col).cast("long").alias("page_id"))
     keys = map_arrow(keys, lambda: lambda b: pa.RecordBatch.from_arrays([pa.array(map(url_key, b.column(0).to_pylist()), pa.string()), b.column(1)], names=["key", "page_id"]), T.StructType([T.StructField("key", T.StringType()), T.StructField("page_id", T.LongType())]))
     counted = keys.groupBy("key", "page_id").agg(F.count("*").alias("n"))
-    ordered = counted.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    ranges = ("key", "page_id") if tasks is None else (tasks, "key", "page_id")
+    ordered = counted.repartitionByRange(*ranges).sortWithinPartitions("key", "page_id")
     schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType())])
 
     def make():
@@ -311,7 +316,7 @@ def read_pages(wanted: DataFrame, index: Index, archive: str, *, id_col: str = "
 def archive_and_read(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """Writes pages' archives and their index, then reads every page back through the index."""
     manifest = write_archive(pages, id_col=id_col, url_col=url_col, html_col=html_col, min_revisit_bytes=min_revisit_bytes)
-    first = manifest.select("file").head()
-    if first is None:
+    size = manifest.agg(F.min("file").alias("file"), F.sum("length").alias("n")).head()
+    if size["file"] is None:
         return read_pages(pages.limit(0), Index("", (), ()), "", id_col=id_col, url_col=url_col)
-    return read_pages(pages, build_index(manifest), first["file"].rpartition("/")[0], id_col=id_col, url_col=url_col)
+    return read_pages(pages, build_index(manifest), size["file"].rpartition("/")[0], id_col=id_col, url_col=url_col, tasks=1 + size["n"] // READ_BYTES)
