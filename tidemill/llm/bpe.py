@@ -26,7 +26,7 @@ from .common import map_arrow, texts_of
 
 #: Code point of byte 0 in pieces; byte b is chr(_BASE + b). Any block of letters would do.
 _BASE = 0x100
-#: A single space between two non-space characters always begins a new pre-token.
+#: A single space between two non-space characters begins a new pre-token, if the pattern says so (Codec tries it).
 _EDGE = re.compile(r"(?<=\S) (?=\S)")
 #: Texts without this can be cut at every space.
 _ODD = re.compile(r"\s | \s|\A | \Z")
@@ -99,6 +99,8 @@ class Codec:
         # White_Space of the pattern's home engine leaves out U+001C..U+001F
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.memo: dict[str, bytes] = {}
+        probes = [f"{a} {b}" for a in "aZé漢7½.'_" for b in "aZé漢7½.'_"]
+        self.cuts = all(self.split(x) == self.split(x[0]) + self.split(x[1:]) for x in probes)
 
     def _pack(self, text: str) -> bytes:
         ids: list[int] = []
@@ -115,6 +117,8 @@ class Codec:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if not self.cuts:
+            return self._pack(text)
         head, *rest = _EDGE.split(text) if _ODD.search(text) else text.split(" ")
         memo = self.memo
         out = [self._pack(head)]

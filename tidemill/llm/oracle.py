@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries
+from . import quality, queries
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _LEAF = ("domain", "lang", "source")
@@ -68,6 +68,12 @@ def _quality() -> str:
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_rules & 3 <> 0 AS base_failed, failed_rules = 0 AS kept, failed_rules FROM f"""
 
 
+def _ablation() -> str:
+    bits = {r.name: 1 << r.bit for r in quality.RULES if r.name in quality.POLICIES["v1"]}
+    one = "SELECT '{0}' AS rule, CAST(coalesce(sum(CASE WHEN failed_rules & {1} <> 0 THEN 1 ELSE 0 END), 0) AS BIGINT) AS failed, CAST(coalesce(sum(CASE WHEN failed_rules = {1} THEN 1 ELSE 0 END), 0) AS BIGINT) AS only_this FROM ledger"
+    return f"WITH ledger AS MATERIALIZED ({_quality()}) " + " UNION ALL ".join(one.format(n, b) for n, b in bits.items())
+
+
 def _warc() -> str:
     revisit = "best IS NOT NULL AND best <> page_id"
     return f"""WITH q AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
@@ -75,4 +81,4 @@ def _warc() -> str:
     SELECT page_id, payload_bytes, payload_digest, CASE WHEN {revisit} THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN {revisit} THEN best END AS refers_to FROM q LEFT JOIN w USING (payload_digest)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_source_mix": _mix(), "op7_url_filter": _url(), "op9_quality_ledger": _quality(), "op10_warc": _warc()}
+ORACLE_SQL: dict[str, str] = {"op1_source_mix": _mix(), "op7_url_filter": _url(), "op9_quality_ledger": _quality(), "op10_warc": _warc(), "quality_ablation": _ablation()}

@@ -67,7 +67,7 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
-    return html_extract.extract(table(spark, sf_dir, "pages")).withColumnRenamed("n_shared", "n_shared_lines")
+    return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,8 +110,8 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger's measures, the base policy's verdict and policy v1's."""
-    rows = quality.ledger(table(spark, sf_dir, "documents"))
+    """The stored ledger's measures, the base policy's verdict and policy v1's."""
+    rows = written(quality.ledger(table(spark, sf_dir, "documents")), "quality-ledger")
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         quality.rejects("base").alias("base_failed"),
@@ -120,6 +120,11 @@ def op9_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each rule of policy v1 how many documents fail it, and how many it alone rejects."""
+    return quality.ablation(written(quality.ledger(table(spark, sf_dir, "documents")), "quality-ledger"), "v1")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record, written to archives and read back through the capture index."""
     return warc.archive_and_read(table(spark, sf_dir, "pages"))
@@ -136,4 +141,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_ledger": op9_quality_ledger,
     "op10_warc": op10_warc,
+    "quality_ablation": quality_ablation,
 }

@@ -14,7 +14,7 @@ training document), scoring is not: every whole text counts.
 
 Defined results: null and empty texts hold no word and get the softmax of the bias alone;
 labels other than 0 and 1 are not learnt from, of several labels of a document the largest
-counts; with one class or none the score is that class's smoothed share (0.5 without any
+counts, and of several texts the smallest; with one class or none the score is that class's smoothed share (0.5 without any
 label). Rows without an id are never learnt from. Repeated rows get equal scores.
 """
 
@@ -224,7 +224,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: Sample, *, id_col:
         one = usable.where(F.col("label") == y).orderBy(F.xxhash64(F.col("id")), "id").limit(sample.per_class)
         chosen = one if chosen is None else chosen.unionByName(one)
     # at most 2 * per_class rows of an id and a label: bounded by the parameter
-    return texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("id", "text", "label")
+    return texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: Sample = Sample()) -> Model:
