@@ -37,7 +37,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     leaf = mixing.leaf_columns(docs, queries.domain_of(F.col("source")))
     counts = written(docs.select(*leaf, mixing.tokens(F.col("text")).alias("n_tokens")), "token-counts")
     leaves = mixing.plan(counts, PIPELINE_MIX)
-    return mixing.select(docs, leaves, PIPELINE_MIX, leaf[1:]).drop("epoch")
+    return mixing.select(docs, leaves, PIPELINE_MIX, leaf[1:], with_epoch=False)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
