@@ -122,8 +122,16 @@ def checked(normalized: DataFrame, as_of: str = AS_OF) -> DataFrame:
     return fenced(normalized.withColumn("failures", hard_failures(as_of)), "failures")
 
 
+def slim(normalized: DataFrame) -> DataFrame:
+    """A normalized frame without what only evidence needs: raw values and events."""
+    return normalized.select(*(c for c in normalized.columns if c != "events" and not c.startswith("raw_")))
+
+
 def dispose(normalized: DataFrame, customers: DataFrame, products: DataFrame, as_of: str = AS_OF) -> DataFrame:
-    """Sales rows with disposition, rule_codes, primary_rule_code, survivor and evidence."""
+    """Sales rows with disposition, rule_codes, primary_rule_code, survivor and evidence.
+
+    Carries every column of normalized; slim() first where no evidence is wanted.
+    """
     # three branches read the checked rows, two the resolved ones: both are written once
     rows, kept = written(checked(normalized, as_of), "checked"), normalized.columns
     nobody = F.lit(None).cast(_REF).alias("survivor")

@@ -30,6 +30,13 @@ def _bundle(spark: SparkSession, d: str) -> validate.Validated:
     return validated({r: messy.cells(spark, d, r) for r in FIELDS}, messy.AS_OF)[0]
 
 
+def _disposed(spark: SparkSession, d: str) -> DataFrame:
+    """Sales rows with dispositions, without the columns that only evidence needs."""
+    sales, customers, products = (validate.slim(_frame(spark, d, r)) for r in FIELDS)
+    c, p = validate.prepare_reference(customers, "customers", messy.AS_OF), validate.prepare_reference(products, "products", messy.AS_OF)
+    return validate.dispose(sales, c, p, messy.AS_OF)
+
+
 def _scalar(role: str, field: str) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
         t = Steps("_x")
@@ -94,12 +101,12 @@ def fk_codes(spark: SparkSession, d: str) -> DataFrame:
 
 def accepted_sales(spark: SparkSession, d: str) -> DataFrame:
     """The accepted rows in the cleaned schema: the flagship."""
-    return evidence.cleaned_sales(_bundle(spark, d))
+    return evidence.cleaned_rows(_disposed(spark, d))
 
 
 def _bucket(disposition: str) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
-        rows = _bundle(spark, d).bucket(disposition)
+        rows = _disposed(spark, d).where(F.col("disposition") == disposition)
         return rows.select(*_REF, F.array_join("rule_codes", "|").alias("rule_codes"), "primary_rule_code", F.col("survivor.file").alias("survivor_file"), F.col("survivor.row").alias("survivor_row"))
 
     return query
@@ -107,13 +114,12 @@ def _bucket(disposition: str) -> Query:
 
 def reconciliation(spark: SparkSession, d: str) -> DataFrame:
     """Transaction counts and whether they add up."""
-    return validate.reconciliation(_bundle(spark, d).sales)
+    return validate.reconciliation(_disposed(spark, d))
 
 
 def reference_counts(spark: SparkSession, d: str) -> DataFrame:
     """Reference counts by table."""
-    v = _bundle(spark, d)
-    return validate.reference_counts({"customers": v.customers, "products": v.products})
+    return validate.reference_counts({r: validate.prepare_reference(validate.slim(_frame(spark, d, r)), r, messy.AS_OF) for r in ("customers", "products")})
 
 
 def fuzzy_candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -176,7 +182,7 @@ def disposition_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def summary_shares(spark: SparkSession, d: str) -> DataFrame:
     """Dispositions with their share of the input as text."""
-    counts = validate.reconciliation(_bundle(spark, d).sales)
+    counts = validate.reconciliation(_disposed(spark, d))
     rows = counts.selectExpr("input", "stack(3, 'accepted', accepted, 'quarantined', quarantined, 'deduplicated', deduplicated) as (disposition, n)")
     return rows.select("disposition", "n", evidence.share_text(F.col("n"), F.col("input")).alias("share"))
 
