@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.contracts import CATEGORIES, CODES, COUNTRIES, FIELDS, RANK
+from ..functions.contracts import CATEGORIES, CODES, COUNTRIES, FIELDS, FLAGS, FUZZY_THRESHOLD, KEY, RANK, REJECTED_VALUES
 from ..functions.rules import month_numbers
 from . import messy
 
@@ -58,7 +58,8 @@ def _mapped(x: str, names: dict[str, str], event: str, issue: str) -> tuple[str,
 
 
 def _text(x: str) -> tuple[str, str, str]:
-    return _clean(x), f"CASE WHEN {_clean(x)} <> {x} THEN 'NORMALIZE_WHITESPACE' END", "NULL"
+    v = _clean(f"nfc_normalize({x})")
+    return v, f"CASE WHEN {v} <> {x} THEN 'NORMALIZE_WHITESPACE' END", "NULL"
 
 
 def _email(x: str) -> tuple[str, str, str]:
@@ -161,15 +162,84 @@ def _scalar(role: str, field: str) -> str:
 
 
 _SUMMED = "SELECT count(*) AS input, count(*) FILTER (disposition = 'ACCEPTED') AS accepted, count(*) FILTER (disposition = 'QUARANTINED') AS quarantined, count(*) FILTER (disposition = 'DEDUPLICATED') AS deduplicated FROM disposed"
-_FIELD_RANK = "CASE field " + " ".join(f"WHEN '{f}' THEN {i}" for i, f in enumerate(FIELDS["sales"], 1)) + " ELSE 8 END"
 _CODE_RANK = "CASE code " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(CODES)) + " END"
 _GROUPS = "('DUPLICATE_EXACT', 'DUPLICATE_KEY_CONFLICT')"
-_AUDIT = f"""{_DISPOSED}, said AS (
-  SELECT _source_file, _source_row, field, original, cleaned, code, 'NORMALIZATION' AS action, '' AS rf, '' AS rr, message, 0 AS stage FROM ({_events('sales', 'disposed')})
-  UNION ALL SELECT _source_file, _source_row, 'country', raw_country, coalesce(country, ''), i_country, 'FLAG', '', '', 'UNKNOWN_COUNTRY for country: country is outside the bounded alias map.', 0 FROM disposed WHERE i_country IS NOT NULL
-  UNION ALL SELECT _source_file, _source_row, CASE WHEN x.c IN {_GROUPS} THEN '' ELSE x.f END, x.v, '', x.c, CASE WHEN x.c = 'DUPLICATE_EXACT' THEN 'DEDUPLICATION' WHEN x.c LIKE 'UNKNOWN%' THEN 'REFERENCE_FAILURE' ELSE 'VALIDATION_FAILURE' END,
-    CASE WHEN x.c = 'DUPLICATE_EXACT' THEN survivor_file ELSE '' END, CASE WHEN x.c = 'DUPLICATE_EXACT' THEN CAST(survivor_row AS VARCHAR) ELSE '' END, x.m, CASE WHEN x.c IN {_GROUPS} THEN 2 WHEN x.c LIKE 'UNKNOWN%' THEN 3 ELSE 1 END
-    FROM (SELECT *, unnest(found) AS x FROM disposed)), ranked AS (SELECT *, {_FIELD_RANK} AS fr, {_CODE_RANK} AS cr FROM said)"""
+_AT = "_source_file, _source_sheet, _source_row"
+#: What an audit row says; the last two are sort keys.
+_SAID = "field, original, cleaned, code, action, rf, rs, rr, message, stage, tie"
+_FLAG_REASONS = {"email": "email does not match the bounded syntax", "country": "country is outside the bounded alias map", "category": "category is outside the bounded alias map"}
+
+
+def _reference_reason(role: str) -> str:
+    """The sentence of a refused reference row, from `shut`."""
+    key = FIELDS[role][0]
+    price = "CASE WHEN try_cast(unit_price_eur AS DOUBLE) < 0 THEN 'unit_price_eur is negative (' || unit_price_eur || ').' ELSE 'unit_price_eur is missing, malformed, ambiguous, or over-precise.' END" if role == "products" else "''"
+    return f"'Reference row excluded: ' || CASE WHEN shut LIKE 'MISSING%' THEN '{key} is missing.' WHEN shut = 'INVALID_IDENTIFIER' THEN '{key} violates the bounded identifier pattern.' ELSE {price} END"
+
+
+def _twin_said(role: str) -> str:
+    return f"'Identical reference copy of ''' || {KEY[role]} || '''; the first source-order row is retained.'"
+
+
+def _clash_said(role: str) -> str:
+    return f"'Conflicting reference facts for ''' || {KEY[role]} || '''; the key is unavailable.'"
+
+
+def _changes(role: str, source: str) -> str:
+    """Normalization events and flags of a source with values, raw_, e_ and i_ columns, as audit rows."""
+    rows = [f"SELECT '{role}' AS record_type, {_AT}, '{f}' AS field, raw_{f} AS original, coalesce({f}, '') AS cleaned, e_{f} AS code, 'NORMALIZATION' AS action, '' AS rf, '' AS rs, '' AS rr, 'Normalized {f} using ' || e_{f} || '.' AS message, 0 AS stage, '' AS tie FROM {source} WHERE e_{f} IS NOT NULL" for f in FIELDS[role]]
+    flags = ", ".join(f"'{x}'" for x in FLAGS)
+    rows += [f"SELECT '{role}', {_AT}, '{f}', raw_{f}, coalesce({f}, ''), i_{f}, 'FLAG', '', '', '', i_{f} || ' for {f}: {_FLAG_REASONS[f]}.', 0, '' FROM {source} WHERE i_{f} IN ({flags})" for f in FIELDS[role] if f in _FLAG_REASONS]
+    return " UNION ALL ".join(rows)
+
+
+def _reference_said(role: str) -> str:
+    """Audit rows of a reference table."""
+    key, price = KEY[role], "shut = 'INVALID_UNIT_PRICE'"
+    where = f"CASE WHEN {price} THEN 'unit_price_eur' ELSE '{key}' END" if role == "products" else f"'{key}'"
+    value = f"coalesce(CASE WHEN {price} THEN unit_price_eur ELSE {key} END, '')" if role == "products" else f"coalesce({key}, '')"
+    return f"""{_changes(role, f'shut_{role}')}
+  UNION ALL SELECT '{role}', {_AT}, {where}, {value}, '', shut, 'VALIDATION_FAILURE', '', '', '', {_reference_reason(role)}, 3, '' FROM shut_{role} WHERE shut IS NOT NULL
+  UNION ALL SELECT '{role}', {_AT}, '', '', '', 'REFERENCE_DUPLICATE_EXACT', 'DEDUPLICATION', head.f, head.s, CAST(head.r AS VARCHAR), {_twin_said(role)}, 3, '' FROM done_{role} WHERE status = 'DUPLICATE'
+  UNION ALL SELECT '{role}', {_AT}, '', '', '', 'REFERENCE_KEY_CONFLICT', 'REFERENCE_FAILURE', '', '', '', {_clash_said(role)}, 3, '' FROM done_{role} WHERE status = 'CONFLICT'"""
+
+
+#: Pairs of usable customers whose names score at least the threshold. Bytes bound the edits of all pairs;
+#: the longest common subsequence of the rest is a fold over the shorter name's rows of lengths.
+_FUZZY = f"""names AS (SELECT customer_id AS id, {_REF_STRUCT} AS at, replace(lower({_clean('nfc_normalize(customer_name)')}), 'ß', 'ss') AS name FROM done_customers WHERE status = 'SURVIVOR' AND customer_name IS NOT NULL),
+  near AS (SELECT a.id AS left_id, b.id AS right_id, a.at AS l, b.at AS r, a.name AS x, string_split(b.name, '') AS y, length(a.name) + length(b.name) AS total FROM names a JOIN names b ON a.id < b.id
+    WHERE levenshtein(a.name, b.name) <= 2 * floor((length(a.name) + length(b.name)) * {100 - FUZZY_THRESHOLD} / 100)),
+  folded AS (SELECT *, list_reduce(list_prepend(list_transform(range(0, len(y) + 1), lambda j: CAST(0 AS BIGINT)), list_transform(string_split(x, ''), lambda c: [CAST(unicode(c) AS BIGINT)])),
+    lambda row, c: list_transform(range(0, len(row)), lambda j: CASE WHEN j = 0 THEN 0 ELSE list_max(list_transform(range(1, j + 1), lambda i: CASE WHEN unicode(y[i]) = c[1] THEN row[i] + 1 ELSE row[i + 1] END)) END)) AS lengths FROM near),
+  pairs AS (SELECT left_id, right_id, l, r, CAST(lengths[-1] AS INT) AS common, CAST(total AS INT) AS total FROM folded WHERE 200 * lengths[-1] >= {FUZZY_THRESHOLD} * total)"""
+_FUZZY_SAID = f"SELECT 'customers', l.f, l.s, l.r, '', '', '', 'FUZZY_CUSTOMER_CANDIDATE', 'FLAG', r.f, r.s, CAST(r.r AS VARCHAR), 'Customer names ''' || left_id || ''' and ''' || right_id || ''' score ' || printf('%.4f', 200.0 * common / total) || ' at or above {FUZZY_THRESHOLD:.1f}; evidence only, no merge.', 3, right_id FROM pairs"
+_FIELD_RANK = "CASE " + " ".join(f"WHEN record_type = '{role}' AND field = '{f}' THEN {i}" for role, fs in FIELDS.items() for i, f in enumerate(fs, 1)) + " " + " ".join(f"WHEN record_type = '{role}' THEN {len(fs) + 1}" for role, fs in FIELDS.items()) + " END"
+_AUDIT = f"""{_DISPOSED}, {_FUZZY}, said AS ({_changes('sales', 'disposed')}
+  UNION ALL SELECT 'sales', {_AT}, CASE WHEN x.c IN {_GROUPS} THEN '' ELSE x.f END, x.v, '', x.c, CASE WHEN x.c = 'DUPLICATE_EXACT' THEN 'DEDUPLICATION' WHEN x.c LIKE 'UNKNOWN%' THEN 'REFERENCE_FAILURE' ELSE 'VALIDATION_FAILURE' END,
+    CASE WHEN x.c = 'DUPLICATE_EXACT' THEN survivor_file ELSE '' END, '', CASE WHEN x.c = 'DUPLICATE_EXACT' THEN CAST(survivor_row AS VARCHAR) ELSE '' END, x.m, CASE WHEN x.c IN {_GROUPS} THEN 2 WHEN x.c LIKE 'UNKNOWN%' THEN 3 ELSE 1 END, ''
+    FROM (SELECT *, unnest(found) AS x FROM disposed)
+  UNION ALL {_reference_said('customers')} UNION ALL {_reference_said('products')} UNION ALL {_FUZZY_SAID}),
+  ranked AS (SELECT *, {_FIELD_RANK} AS fr, {_CODE_RANK} AS cr FROM said)"""
+_LOG = "row_number() OVER (ORDER BY _source_file, _source_sheet, _source_row, stage, cr, fr, field, code, tie, original, message) AS event_index, record_type, _source_file AS source_file, _source_sheet AS source_sheet, _source_row AS source_row, field AS field_name, original AS original_value, cleaned AS cleaned_value, code, action AS action_type, rf AS related_source_file, rs AS related_source_sheet, rr AS related_source_row, message"
+
+
+def _rejected(role: str) -> str:
+    """Rows of a role that were not accepted, with raw values."""
+    values = ", ".join(f"raw_{f} AS {f}" if f in FIELDS[role] else f"'' AS {f}" for f in REJECTED_VALUES)
+    head = f"SELECT '{role}' AS record_type, _source_file AS source_file, _source_sheet AS source_sheet, _source_row AS source_row"
+    if role == "sales":
+        reason = "array_to_string(list_transform(list_sort(list_transform(found, lambda x: {'r': x.r, 'f': x.f, 'm': x.m})), lambda x: x.m), '; ')"
+        return f"{head}, disposition AS terminal_disposition, found[1].c AS primary_rule_code, {_CODES} AS rule_codes, {reason} AS reason, {values} FROM disposed WHERE disposition <> 'ACCEPTED'"
+    return f"""{head}, 'REFERENCE_REJECTED' AS terminal_disposition, shut AS primary_rule_code, shut AS rule_codes, {_reference_reason(role)} AS reason, {values} FROM shut_{role} WHERE shut IS NOT NULL
+  UNION ALL {head}, 'REFERENCE_DEDUPLICATED', 'REFERENCE_DUPLICATE_EXACT', 'REFERENCE_DUPLICATE_EXACT', {_twin_said(role)}, {values} FROM done_{role} WHERE status = 'DUPLICATE'
+  UNION ALL {head}, 'REFERENCE_REJECTED', 'REFERENCE_KEY_CONFLICT', 'REFERENCE_KEY_CONFLICT', {_clash_said(role)}, {values} FROM done_{role} WHERE status = 'CONFLICT'"""
+
+
+def _all_events() -> str:
+    """Normalization events of all roles."""
+    each = " UNION ALL ".join(f"SELECT '{r}' AS record_type, _source_sheet, * EXCLUDE (_source_sheet) FROM ({_events(r).replace('SELECT _source_file,', 'SELECT _source_sheet, _source_file,')})" for r in FIELDS)
+    return f"WITH {', '.join(map(_norm, FIELDS))} SELECT record_type, _source_file, _source_row, field, code, original, cleaned, message FROM ({each})"
+
 
 ORACLE_SQL: dict[str, str] = {
     "accepted_sales": f"WITH {_DISPOSED} SELECT order_id, customer_id, product_id, order_date, quantity, unit_price_eur, coalesce(country, '') AS country, _source_file, _source_sheet, _source_row FROM disposed WHERE disposition = 'ACCEPTED'",
@@ -184,7 +254,7 @@ ORACLE_SQL: dict[str, str] = {
     "norm_text": _scalar("customers", "customer_name"),
     "norm_email": _scalar("customers", "email"),
     "norm_category": _scalar("products", "category"),
-    "norm_events": f"WITH {_norm('sales')} {_events('sales')}",
+    "norm_events": _all_events(),
     "norm_issue_counts": f"WITH {', '.join(map(_norm, FIELDS))} SELECT record_type, code, count(*) AS n FROM ({' UNION ALL '.join(map(_issues, FIELDS))}) GROUP BY ALL",
     "hard_failures": f"WITH {_SALES} SELECT _source_file, _source_row, array_to_string(list_transform(failures, lambda x: x.c), '|') AS codes, failures[1].c AS primary_code FROM failing WHERE len(failures) > 0",
     "dedupe_status": f"WITH {_SALES} SELECT _source_file, _source_row, status, CASE WHEN status <> 'CONFLICT' THEN head.f END AS survivor_file, CASE WHEN status <> 'CONFLICT' THEN head.r END AS survivor_row FROM resolved",
@@ -194,8 +264,9 @@ ORACLE_SQL: dict[str, str] = {
     "fk_codes": f"WITH {_LINKED} SELECT _source_file, _source_row, no_customer, no_product FROM linked WHERE no_customer OR no_product",
     "reconciliation": f"WITH {_DISPOSED} SELECT *, input = accepted + quarantined + deduplicated AS reconciled FROM ({_SUMMED})",
     "reference_counts": f"WITH {_prepared('customers')}, {_prepared('products')} SELECT record_type, count(*) AS input, count(*) FILTER (disposition = 'REFERENCE_VALID') AS valid, count(*) FILTER (disposition = 'REFERENCE_REJECTED') AS rejected, count(*) FILTER (disposition = 'REFERENCE_DEDUPLICATED') AS deduplicated, true AS reconciled FROM (SELECT 'customers' AS record_type, * FROM ref_customers UNION ALL SELECT 'products', * FROM ref_products) GROUP BY record_type",
-    "audit_event_index": f"WITH {_AUDIT} SELECT row_number() OVER (ORDER BY _source_file, _source_row, stage, cr, fr, field, code, original, message) AS event_index, _source_file AS source_file, _source_row AS source_row, field AS field_name, original AS original_value, cleaned AS cleaned_value, code, action AS action_type, rf AS related_source_file, rr AS related_source_row, message FROM ranked",
-    "rejected_rows": f"WITH {_DISPOSED} SELECT _source_file AS source_file, _source_row AS source_row, disposition AS terminal_disposition, found[1].c AS primary_rule_code, {_CODES} AS rule_codes, array_to_string(list_transform(list_sort(list_transform(found, lambda x: {{'r': x.r, 'f': x.f, 'm': x.m}})), lambda x: x.m), '; ') AS reason, {', '.join(f'raw_{f} AS {f}' for f in FIELDS['sales'])} FROM disposed WHERE disposition <> 'ACCEPTED'",
+    "fuzzy_candidates": f"WITH {_prepared('customers')}, {_FUZZY} SELECT left_id, right_id, common, total FROM pairs",
+    "audit_log": f"WITH {_AUDIT} SELECT {_LOG} FROM ranked",
+    "rejected_rows": f"WITH {_DISPOSED} {' UNION ALL '.join(map(_rejected, FIELDS))}",
     "rule_counts": f"WITH {_AUDIT} SELECT code, count(*) AS n FROM ranked WHERE code NOT LIKE 'NORMALIZE%' GROUP BY code",
     "normalization_counts": f"WITH {_AUDIT} SELECT code, count(*) AS n FROM ranked WHERE code LIKE 'NORMALIZE%' GROUP BY code",
     "disposition_counts": f"WITH {_DISPOSED} SELECT disposition AS terminal_disposition, count(*) AS n FROM (SELECT disposition FROM disposed WHERE disposition <> 'ACCEPTED' UNION ALL SELECT disposition FROM ref_customers WHERE disposition <> 'REFERENCE_VALID' UNION ALL SELECT disposition FROM ref_products WHERE disposition <> 'REFERENCE_VALID') GROUP BY disposition",

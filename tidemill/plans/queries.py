@@ -7,14 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.contracts import FIELDS, REJECTED_VALUES
+from ..functions.contracts import FIELDS
 from ..functions.rules import Steps, field_rule, layered
 from ..operators import evidence, validate
 from ..operators.dedupe import resolve
 from ..operators.fuzzy import candidates
 from ..operators.invariants import violations
 from ..operators.normalize import evidence_rows, normalize
-from ..operators.ordering import indexed
 from . import messy
 from .pipeline import validated
 
@@ -48,8 +47,12 @@ def _scalar(role: str, field: str) -> Query:
 
 
 def norm_events(spark: SparkSession, d: str) -> DataFrame:
-    """Every normalization event of the sales rows."""
-    return evidence_rows(_frame(spark, d, "sales"), "sales", "events").select(*_REF, "field", "code", "original", "cleaned", "message")
+    """Every normalization event of all three roles."""
+    parts = [evidence_rows(_frame(spark, d, r), r, "events") for r in FIELDS]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("record_type", *_REF, "field", "code", "original", "cleaned", "message")
 
 
 def norm_issue_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -133,42 +136,12 @@ def audit_log(spark: SparkSession, d: str) -> DataFrame:
     return evidence.audit_log(_bundle(spark, d))
 
 
-def audit_event_index(spark: SparkSession, d: str) -> DataFrame:
-    """The audit log of the sales rows alone, with its index."""
-    rows = evidence.audit_events(_bundle(spark, d)).where("record_type = 'sales'")
-    keys = ["source_file", "source_sheet", "source_row", "stage", "code_rank", "field_rank", "field_name", "code", "tie", "original_value", "message"]
-    return indexed(rows, keys, "event_index").select("event_index", "source_file", "source_row", "field_name", "original_value", "cleaned_value", "code", "action_type", "related_source_file", "related_source_row", "message")
-
-
 def rejected_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Sales rows that were not accepted, with raw values and reasons."""
-    rows = evidence.rejected_rows(_bundle(spark, d)).where("record_type = 'sales'")
-    return rows.select("source_file", "source_row", "terminal_disposition", "primary_rule_code", "rule_codes", "reason", *(c for c in REJECTED_VALUES if c in FIELDS["sales"]))
-
-
-def _counts(normalization: bool) -> Query:
-    def query(spark: SparkSession, d: str) -> DataFrame:
-        v = _bundle(spark, d)
-        return evidence.code_counts(evidence.audit_events(v).where("code <> 'FUZZY_CUSTOMER_CANDIDATE' and record_type = 'sales'"), normalization)
-
-    return query
-
-
-def norm_events_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every normalization event of all three roles."""
-    parts = [evidence_rows(_frame(spark, d, r), r, "events") for r in FIELDS]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select("record_type", *_REF, "field", "code", "original", "cleaned", "message")
-
-
-def rejected_rows_all(spark: SparkSession, d: str) -> DataFrame:
     """Rows of all three roles that were not accepted, with every raw value and reasons."""
     return evidence.rejected_rows(_bundle(spark, d))
 
 
-def _counts_all(normalization: bool) -> Query:
+def _counts(normalization: bool) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
         return evidence.code_counts(evidence.audit_events(_bundle(spark, d)), normalization)
 
@@ -219,14 +192,9 @@ QUERIES: dict[str, Query] = {
     "reference_counts": reference_counts,
     "fuzzy_candidates": fuzzy_candidates,
     "audit_log": audit_log,
-    "audit_event_index": audit_event_index,
     "rejected_rows": rejected_rows,
     "rule_counts": _counts(False),
     "normalization_counts": _counts(True),
-    "norm_events_all": norm_events_all,
-    "rejected_rows_all": rejected_rows_all,
-    "rule_counts_all": _counts_all(False),
-    "normalization_counts_all": _counts_all(True),
     "disposition_counts": disposition_counts,
     "summary_shares": summary_shares,
     "invariant_violations": invariant_violations,
