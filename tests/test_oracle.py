@@ -18,7 +18,7 @@ def views():
     return c
 
 
-@pytest.mark.parametrize("name", ["accepted_sales", "norm_currency", "norm_date", "norm_email", "dedupe_status", "reference_products", "rejected_rows", "audit_log", "fuzzy_candidates", "norm_events", "rule_counts", "normalization_counts"])
+@pytest.mark.parametrize("name", ["accepted_sales", "norm_currency", "norm_date", "norm_email", "dedupe_status", "reference_products", "rejected_rows", "audit_log", "fuzzy_candidates", "norm_events", "rule_counts", "normalization_counts", "csv_scan", "xlsx_scan", "input_file_digests"])
 def test_query(spark, views, name):
     got = QUERIES[name](spark, DATA)
     cols = sorted(got.columns)

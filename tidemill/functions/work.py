@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir), as a URI.
 
-    Where the session has none, as in tests, a fresh local folder becomes it.
+    Where a local session has none, as in tests, a fresh local folder becomes it; a cluster
+    that names none is refused, for its machines share no local folder.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tidemill-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")

@@ -17,10 +17,12 @@ def resolve(rows: DataFrame, key: str, facts: list[str]) -> DataFrame:
     """rows with status (SURVIVOR, DUPLICATE, CONFLICT) and survivor (its reference).
 
     Two partial aggregates by key and one join that Spark may split, instead of a window, so
-    a key with very many rows is never gathered in one task. Nulls are facts like others.
+    a key with very many rows is never gathered in one task. Nulls are facts like others. Two
+    rows of a key with one reference are refused: the query fails and names the key.
     """
     fact = F.struct(*facts)
-    groups = rows.groupBy(F.col(key).alias("_key")).agg(F.min(fact).eqNullSafe(F.max(fact)).alias("_same"), F.min(ref()).alias("_first"))
+    groups = rows.groupBy(F.col(key).alias("_key")).agg(F.min(fact).eqNullSafe(F.max(fact)).alias("_same"), F.min(ref()).alias("_first"), F.max(ref()).alias("_last"), F.count("*").alias("_rows"))
+    groups = groups.withColumn("_first", F.when((F.col("_rows") > 1) & F.col("_first").eqNullSafe(F.col("_last")), F.raise_error(F.concat(F.lit("repeated reference under key "), F.col("_key").cast("string"))).cast(groups.schema["_first"].dataType)).otherwise(F.col("_first")))
     joined = rows.join(groups, F.col(key) == F.col("_key"))
     status = F.when(~F.col("_same"), "CONFLICT").when(F.col("_first") == ref(), "SURVIVOR").otherwise("DUPLICATE")
-    return joined.withColumn("status", status).withColumn("survivor", F.when(status != "CONFLICT", F.col("_first"))).drop("_key", "_same", "_first")
+    return joined.withColumn("status", status).withColumn("survivor", F.when(status != "CONFLICT", F.col("_first"))).drop("_key", "_same", "_first", "_last", "_rows")

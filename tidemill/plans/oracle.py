@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.contracts import CATEGORIES, CODES, COUNTRIES, FIELDS, FLAGS, FUZZY_THRESHOLD, KEY, RANK, REJECTED_VALUES
 from ..functions.rules import month_numbers
-from . import messy
+from . import messy, scans
 
 _IDENT = "[A-Z0-9][A-Z0-9_-]{0,63}"
 
@@ -241,7 +241,26 @@ def _all_events() -> str:
     return f"WITH {', '.join(map(_norm, FIELDS))} SELECT record_type, _source_file, _source_row, field, code, original, cleaned, message FROM ({each})"
 
 
+def _scan(kind: str) -> str:
+    """The files' cells from the rows that were written to them."""
+    fields = FIELDS["sales"]
+    rows = scans.FILED_SQL.format(suffix=".xlsx" if kind == "xlsx" else ".csv", rows="raw_sales")
+    head = f"WITH raw_sales AS ({messy.MESSY_SQL['sales']}), filed AS ({rows})"
+    if kind == "csv":
+        return f"{head} SELECT * FROM filed"
+    if kind == "xlsx":
+        cells = ", ".join(f"nullif({f}, '') AS {f}" for f in fields)
+        return f"{head} SELECT source_file, 'sales' AS source_sheet, source_row, {cells}, CASE WHEN quantity = '' THEN 'null' WHEN regexp_full_match(quantity, '0|[1-9][0-9]*') THEN 'int' ELSE 'str' END AS quantity_kind FROM filed"
+    quoted = " || ',' || ".join(f"CASE WHEN contains({f}, ',') OR contains({f}, '\"') THEN '\"' || replace({f}, '\"', '\"\"') || '\"' ELSE {f} END" for f in fields)
+    aliases = sum(h != f for h, f in zip(scans.HEADER, fields))
+    return f"""{head} SELECT source_file, 'sales' AS record_type, CAST(count(*) AS INT) AS row_count, {aliases} AS aliases_applied, 1 AS unexpected_columns,
+      sha256('{','.join(scans.HEADER)}' || chr(10) || string_agg({quoted} || ',x' || chr(10), '' ORDER BY source_row)) AS sha256 FROM filed GROUP BY source_file"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "csv_scan": _scan("csv"),
+    "xlsx_scan": _scan("xlsx"),
+    "input_file_digests": _scan("digests"),
     "accepted_sales": f"WITH {_DISPOSED} SELECT order_id, customer_id, product_id, order_date, quantity, unit_price_eur, coalesce(country, '') AS country, _source_file, _source_sheet, _source_row FROM disposed WHERE disposition = 'ACCEPTED'",
     "quarantined_sales": _bucket("QUARANTINED"),
     "deduplicated_sales": _bucket("DEDUPLICATED"),

@@ -14,7 +14,7 @@ from ..operators.dedupe import resolve
 from ..operators.fuzzy import candidates
 from ..operators.invariants import violations
 from ..operators.normalize import evidence_rows, normalize
-from . import messy
+from . import messy, scans
 from .pipeline import validated
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -195,6 +195,9 @@ QUERIES: dict[str, Query] = {
     "rejected_rows": rejected_rows,
     "rule_counts": _counts(False),
     "normalization_counts": _counts(True),
+    "csv_scan": scans.csv_scan,
+    "xlsx_scan": scans.xlsx_scan,
+    "input_file_digests": scans.input_file_digests,
     "disposition_counts": disposition_counts,
     "summary_shares": summary_shares,
     "invariant_violations": invariant_violations,
