@@ -39,6 +39,7 @@ def map_arrow(
         for batch in batches:
             if batch.num_rows:
                 yield step(batch)
+        pa.default_memory_pool().release_unused()  # workers are used again
 
     return df.mapInArrow(run, schema)
 
