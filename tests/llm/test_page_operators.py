@@ -152,6 +152,24 @@ def test_judge_against_brute_force(spark, pages):
     assert url_filter.judge(frame.limit(0), rules).count() == 0
 
 
+def test_judge_long_and_repeated_urls(spark):
+    long = "http://" + "a." * 20_000 + "example.com/en/" + "x" * 1_000_000
+    frame = spark.createDataFrame([(1, long), (1, long), (None, "http://spam-farm.org/"), (2, None)], "page_id long, url string")
+    got = Counter((r["page_id"], len(r["path"]), r["rule"], r["verdict"]) for r in url_filter.judge(frame, queries.URL_RULES).collect())
+    assert got == {(1, 1_000_004, "example.com/en/", "block"): 2, (None, 1, None, "block"): 1, (2, 0, None, "allow"): 1}
+
+
+def test_warc_very_long_payloads_in_many_tasks(spark, monkeypatch):
+    body = "0123456789abcdef" * 300_000  # 4.8 MB
+    pages = spark.createDataFrame([(i, f"http://h/{i}", body if i < 3 else "p" * 2000 + str(i)) for i in range(12)], "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "READ_BYTES", 1 << 10)
+    monkeypatch.setattr(warc, "INDEX_BLOCKS", 2)
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archive_and_read(pages).collect()}
+    assert got[0] == (4_800_000, "revisit", 2) and got[2] == (4_800_000, "response", None) and len(got) == 12
+    index = warc.build_index(warc.write_archive(pages), 1)
+    assert len(index.parts) > 1  # one block a row: more than one index task
+
+
 def test_warc_round_trip(spark, monkeypatch):
     rng = random.Random(3)
     body = ["", "short", "x" * 999, "y" * 1000, "é" * 600, "z" * 5000]
@@ -218,7 +236,7 @@ def test_every_table_is_partitioned_and_parts_may_be_parted(spark):
     near = unit[::50] @ unit.T
     near[np.arange(60), np.arange(0, 3000, 50)] = -9
     fifth = np.sort(near, axis=1)[:, -5]
-    for settings, parts in ((ann.Settings(), 8), (ann.Settings(rows_a_part=100, most_parts=4, sub_sample=512), 32)):
+    for settings, parts in ((ann.Settings(), 32), (ann.Settings(least_parts=4, rows_a_part=100, most_parts=4, sub_sample=512), 32)):
         found, router, scanned = ann.search_with_router(frame, lambda i: i % 50 == 0, settings=settings)
         got = found.toPandas()
         assert router.parts == parts and router.probes < parts and scanned <= 1 / 3

@@ -98,6 +98,54 @@ def test_toxicity_held_out_misspellings(spark, docs, none):
     assert {round(r["score"], 6) for r in toxicity.score(docs, flat).collect()} == {0.5} and toxicity.score(none, flat).count() == 0
 
 
+def brute_score(m, text):
+    """Slot by slot, n-gram by n-gram: the likeliest window's softmax."""
+    words = re.findall(r"\w+", text.lower())
+
+    def vector(word):
+        grams = [f"<{word}>"[i : i + n] for n in toxicity.SIZES for i in range(len(word) + 3 - n)]
+        return np.mean([m.vectors[bucket(g)] for g in grams], axis=0)
+
+    def bucket(gram):
+        h = len(gram)
+        for c in gram:
+            h = (h * 0x9E3779B97F4A7C15 % (1 << 64)) ^ ord(c)
+            h ^= h >> 29
+        return ((h * 0xBF58476D1CE4E5B9 % (1 << 64)) >> 40) % toxicity.BUCKETS
+
+    best = None
+    for a, b in toxicity.windows_of(len(words)) or [(0, 0)]:
+        total = np.zeros(toxicity.DIM)
+        for i in range(a, b):
+            if words[i] not in words[max(0, i - toxicity.WINDOW + 1) : i]:
+                total += vector(words[i])
+        z = total / toxicity.WINDOW @ m.weights + m.bias
+        p = 1 / (1 + np.exp(z[0] - z[1]))
+        best = p if best is None else max(best, p)
+    return best
+
+
+def test_toxicity_scores_equal_a_naive_scorer(spark):
+    rng = np.random.default_rng(9)
+    m = toxicity.Model(rng.normal(0, 1, (toxicity.BUCKETS, toxicity.DIM)), rng.normal(0, 1, (toxicity.DIM, 2)), np.array([0.1, -0.3]))
+    words = ["Ab", "été", "x", "grunf", "grunfen", "_1", "wexel", "漢字"]
+    texts = [" ".join(rng.choice(words, n)) for n in (1, 2, 5, 31, 32, 33, 49, 200)] + ["", None, "!? ", "a " * 500, "a b", "a b"]
+    frame = spark.createDataFrame([(i // 2, t, 0.5) for i, t in enumerate(texts)], "doc_id long, text string, score double")
+    got = Counter((r["doc_id"], round(r["score"], 9)) for r in toxicity.score(frame, m).collect())
+    assert got == Counter((i // 2, round(float(brute_score(m, t or "")), 9)) for i, t in enumerate(texts))
+
+
+def test_bpe_with_a_pattern_that_does_not_cut_at_spaces(spark):
+    import tiktoken
+
+    ranks, pattern = bpe.read_ranks(queries.tokenizer_file()), r"[^\n]+|\n"
+    other = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.Codec(bpe.serialise_model(ranks), pattern)
+    text = "one two three\nfour  five"
+    got = codec.encode(text)
+    assert not codec.cuts and list(struct.unpack(f"<{len(got) // 4}I", got)) == other.encode_ordinary(text)
+
+
 def test_share_out_prefers_siblings():
     assert mixing.share_out(100, [("a", 1, 10), ("b", 1, 1000), ("c", 2, 1000)]) == {"a": 10, "b": 30, "c": 60}
     assert mixing.share_out(100, [("a", 0, 10), ("b", 3, 20)]) == {"b": 20}

@@ -3,7 +3,7 @@
 On a bounded sample: an exact neighbour graph, balanced partitioning of that graph
 (recursive bisection by its second eigenvector, cut at the median, refined by swaps of equal
 numbers), and a small softmax classifier trained on each vector's neighbours' partitions.
-Tables of every size are partitioned, in 8 parts at least (fewer only if there are too few
+Tables of every size are partitioned, in 32 parts at least (fewer only if there are too few
 rows to tell them apart); where one classifier's parts would hold too many rows, each part
 learns a classifier of its own, on a bounded sample of its rows, and a partition is a part of
 a part. All rows are placed in their likeliest partition; a query goes to its likeliest
@@ -42,12 +42,12 @@ class Settings:
 
     sample: int = 4096
     graph_k: int = 10
-    rows_a_part: int = 4000
-    least_parts: int = 8
+    rows_a_part: int = 1000
+    least_parts: int = 32
     most_parts: int = 256
     sub_sample: int = 1024
     most_sub_parts: int = 64
-    recall: float = 0.95
+    recall: float = 0.93
     block_rows: int = 16_384
     block_queries: int = 4096
 
