@@ -30,7 +30,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -341,10 +340,11 @@ def spans_of(size: int, start: np.ndarray, windows: np.ndarray, runs: list[bytes
     return np.stack([np.flatnonzero(gone == 1), np.flatnonzero(gone == -1)], axis=1)
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), characters: bool = False) -> DataFrame:
     """(id, carried columns, n_bytes, n_removed, n_spans, kept binary, spans array, copied) of every document.
 
-    `copied` says that the whole text stands there more than once.
+    `copied` says that the whole text stands there more than once. With `characters`, kept
+    is without what is left of a character that a span has cut.
     """
     small_batches(docs.sparkSession)
     texts, copied = distinct_texts(docs, text_col)
@@ -386,7 +386,10 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, i
             spans = spans_of(len(data), start, windows, runs, length)
             edges = [0, *spans.ravel().tolist(), len(data)]
             kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
-            return len(data), len(data) - len(kept), len(spans), kept, spans.tolist()
+            removed = len(data) - len(kept)
+            if characters:
+                kept = kept.decode(errors="ignore").encode()
+            return len(data), removed, len(spans), kept, spans.tolist()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             k = len(held)
@@ -411,14 +414,9 @@ def without_repeats(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc
     """
     held = [f"x{i}" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, held))
-    rows = remove_repeats(docs.toDF(*held), length=length, id_col=at[id_col], text_col=at[text_col], carry=tuple(h for h in held if h != at[id_col]))
-    text = F.decode(_whole_characters("kept"), "UTF-8")
+    rows = remove_repeats(docs.toDF(*held), length=length, id_col=at[id_col], text_col=at[text_col], carry=tuple(h for h in held if h != at[id_col]), characters=True)
+    text = F.decode("kept", "UTF-8")
     out = {c: F.col(h) for c, h in at.items()} | {text_col: F.when(F.col(at[text_col]).isNotNull(), text)}
     if size_col in at:
         out[size_col] = F.length(text).cast("long")
     return rows.select(*(x.alias(c) for c, x in out.items()))
-
-
-@F.pandas_udf(T.BinaryType())
-def _whole_characters(kept: pd.Series) -> pd.Series:
-    return kept.map(lambda x: x.decode(errors="ignore").encode())
