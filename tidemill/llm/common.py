@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.shipping import ship_package
 from ..functions.work import discard, work_path, written
 
-__all__ = ["BATCH_RECORDS", "clear_of", "discard", "map_arrow", "small_batches", "texts_of", "work_path", "written"]
+__all__ = ["BATCH_RECORDS", "clear_of", "discard", "map_arrow", "small_batches", "texts_of", "tidy", "work_path", "written"]
 
 #: Records of one Arrow batch; a batch of long texts must fit beside the JVM.
 BATCH_RECORDS = 512
@@ -26,6 +27,14 @@ def small_batches(spark: SparkSession, records: int = BATCH_RECORDS) -> None:
         spark.conf.set(key, str(records))
 
 
+def tidy() -> None:
+    """Gives a Python worker's free memory back: workers are used again, and idle ones keep what they hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 def map_arrow(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
@@ -39,7 +48,7 @@ def map_arrow(
         for batch in batches:
             if batch.num_rows:
                 yield step(batch)
-        pa.default_memory_pool().release_unused()  # workers are used again
+        tidy()
 
     return df.mapInArrow(run, schema)
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, map_arrow, small_batches, texts_of, written
+from .common import discard, map_arrow, small_batches, texts_of, tidy, written
 from .components import components, forest
 
 BITS, PARTS, WIDTH = 64, 4, 16
@@ -341,6 +341,7 @@ def links(nodes: DataFrame, max_bits: int) -> DataFrame:
         a, b = out.shrink()
         for i in range(0, len(a), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(a[i : i + (1 << 16)]), pa.array(b[i : i + (1 << 16)])], names=["a", "b"])
+        tidy()
 
     return dealt_rows.mapInArrow(verify, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
@@ -445,6 +446,7 @@ def prints_and_counts(texts: DataFrame, shingle: int) -> tuple[DataFrame, np.nda
         for i in range(0, len(at), 1 << 15):
             some = at[i : i + (1 << 15)]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array(some.astype(np.int32)), pa.array(total[some])], names=schema.names)
+        tidy()
 
     small_batches(texts.sparkSession)
     rows = written(texts.select("k", "z").mapInArrow(run, schema), "prints")

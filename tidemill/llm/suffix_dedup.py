@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, map_arrow, small_batches, written
+from .common import discard, map_arrow, small_batches, tidy, written
 from .repeats import common_prefix_at_least, segments, two_stage_suffixes
 
 LENGTH, GRAM = 200, 24
@@ -257,6 +257,7 @@ def _mark(length: int, gram: int):
                 size += len(row[7])
         if held:
             yield flush(held)
+        tidy()
 
     return run
 
@@ -326,6 +327,7 @@ def _cut(rows: DataFrame, length: int) -> DataFrame:
                 out += [(x["m"], x["g"] % x["salts"], x["salts"], x["g"], x["w"], x["n"], x["o"], data[x["s"] : x["s"] + x["n"] + length - 1]) for x in spans]
             for i in range(0, len(out), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out[i : i + 4096]), (pa.int64(),) * 5 + (pa.int32(), pa.int32(), pa.binary()))], names=schema.names)
+        tidy()
 
     return rows.mapInArrow(run, schema)
 
