@@ -401,6 +401,29 @@ def test_components_of_hundreds_of_clusters_are_finished(spark):
     assert len(assert_kept(spark, texts)) < 220
 
 
+def test_who_went_for_one_that_goes_is_compared_again(spark, monkeypatch):
+    def changed(words, at, name):
+        return [f"{name}{i}" if i in at else w for i, w in enumerate(words)]
+
+    c = [f"w{i}" for i in range(200)]
+    a = changed(c, (10, 20, 30), "a")
+    b = changed(a, (60, 70, 80), "b")
+    f = changed(b, (120, 130, 140), "f")
+    texts = {5: a, 1: b, 9: c, 10: changed(c, (190,), "d"), 11: changed(c, (195,), "e"), 20: f}
+    near = brute_similar({i: " ".join(w) for i, w in texts.items()})
+    assert (5, 9) in near and (1, 5) in near and (1, 20) in near and not near & {(1, 9), (5, 20), (9, 20)}
+    went = {1: 5, 10: 9, 11: 9}
+
+    def thinned(frame, *_):
+        k = {r["id"]: r["k"] for r in frame.select("id", "k").collect()}
+        return spark.createDataFrame([(k[x], k[y]) for x, y in went.items()], "k long, by long")
+
+    monkeypatch.setattr(simhash, "thinned", thinned)
+    assert assert_kept(spark, {i: " ".join(w) for i, w in texts.items()}) == {9, 20}
+    del texts[20]
+    assert assert_kept(spark, {i: " ".join(w) for i, w in texts.items()}) == {1, 9}
+
+
 def test_pairs_far_apart_in_every_fingerprint_are_found(spark):
     rng, texts = random.Random(8), {}
     for v in range(60):

@@ -658,8 +658,10 @@ def keep_one(docs: DataFrame, *, shingle: int = 5, max_bits: int = 6, least: flo
     gone = gone.select("k").join(back, "k", "left_anti").unionByName(lost)
     if back.head() is not None:
         again = written(prefixes(texts.join(back, "k", "left_semi"), shingle, least, counts), "prefixes")
-        stayed = rows.join(lost, "k", "left_anti").unionByName(again)
-        pairs = similar_pairs(written(candidate_pairs(again, stayed, least), "candidates"), texts, shingle, least)
+        # of those who stay only what shares a shingle with these is dealt
+        asked = written(again.select("h").distinct(), "asked")
+        stayed = prefixes(left.join(lost, "k", "left_anti"), shingle, least, counts).join(asked, "h", "left_semi")
+        pairs = similar_pairs(written(candidate_pairs(again, stayed.unionByName(again), least), "candidates"), texts, shingle, least)
         for end in ("a", "b"):
             pairs = pairs.join(back.select(F.col("k").alias(end), F.lit(1).alias(f"w{end}")), end, "left").fillna(0, [f"w{end}"])
         gone = gone.unionByName(beaten(_ranked(pairs, "wa < wb")))
