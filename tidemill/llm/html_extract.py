@@ -254,7 +254,10 @@ def mark(lines: list[str]) -> list[int]:
 
 
 def parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(id, url, uid, host, path, blocks, marks) of every page: parts_of(), packed, and hashes of the lines."""
+    """(id, url, uid, host, path, blocks, marks) of every page: parts_of(), packed, and hashes of the lines.
+
+    Marked lines go on as hashes only.
+    """
     source = pages.select(
         F.col(id_col), F.col(url_col), F.monotonically_increasing_id().alias("uid"),
         host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"),
@@ -263,11 +266,11 @@ def parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
     schema = T.StructType([*source.schema[:5], T.StructField("blocks", T.BinaryType()), T.StructField("marks", T.ArrayType(T.LongType()))])
 
     def make():
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=9).compress
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             got = [parts_of(x) for x in batch.column(5).to_pylist()]
-            blocks = pa.array([pack(json.dumps(x, ensure_ascii=False).encode("utf-8", "surrogatepass")) for x in got], pa.binary())
+            blocks = pa.array([pack(json.dumps([(w, t if w >= 0 else "") for w, t in x], ensure_ascii=False).encode("utf-8", "surrogatepass")) for x in got], pa.binary())
             return pa.RecordBatch.from_arrays([*batch.columns[:5], blocks, pa.array([mark([t for _, t in x]) for x in got], pa.list_(pa.int64()))], names=schema.names)
 
         return step
@@ -319,7 +322,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     lines = written(parsed(pages, id_col, url_col, html_col), "page-lines")
     pair = partners(neighbours(lines, id_col))
     other = lines.select(F.col("uid").alias("partner"), F.col("marks").alias("other"))
-    pair = written(pair.join(other, "partner").select("uid", "other"), "page-partners")
+    pair = pair.join(other, "partner").select("uid", "other")
     rows = lines.join(pair, "uid", "left").select(id_col, url_col, "blocks", "marks", "other")
     counts = ("n_chars", "n_lines", "n_shared", "n_marked")
     schema = T.StructType([*rows.schema[:2], T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in counts)])
