@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from tidemill.llm import bpe, mixing, quality, queries, repeats, simhash, suffix_dedup, toxicity
+from tidemill.llm.common import written
 from tidemill.llm.components import components
 
 LONG = "lorem ipsum dolor " * 9000
@@ -435,3 +436,15 @@ def test_pairs_far_apart_in_every_fingerprint_are_found(spark):
     near = brute_similar(texts)
     assert len(near) > 40
     assert len(assert_kept(spark, texts)) == len(texts) - len(near)
+
+
+def test_lists_are_sent_as_bits_and_only_what_may_be_listed_is_shuffled(spark):
+    rows = [(i if i % 7 else None, bytes([i % 251, i // 251]), "long text " * 9) for i in range(6000)]
+    listed = rows[3::40] + [(9999, b"zz", "")]
+    docs = spark.createDataFrame(rows + rows[:50], "id long, node binary, text string")
+    off = written(spark.createDataFrame([r[:2] for r in listed], "id long, node binary"), "off")
+    want = sorted((r for r in rows + rows[:50] if r not in listed), key=str)
+    assert sorted(map(tuple, simhash.without_few(docs, off).collect()), key=str) == want
+    assert sorted(map(tuple, simhash.without_few(docs, off.limit(0)).collect()), key=str) == sorted(rows + rows[:50], key=str)
+    maybe = simhash.marked(docs, off, "id", "node").where("_maybe")
+    assert len(listed) - 1 <= maybe.count() < len(listed) + 800  # the join before moved all 6050

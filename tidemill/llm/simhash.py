@@ -41,6 +41,8 @@ BLOCK = 1 << 18
 HOT = 1 << 17
 #: Buckets in which the texts that hold a shingle are counted.
 SKETCH = 1 << 18
+#: Bits for each row of a list that is sent around, at most, and in one row of the table that holds them (Spark's bitmaps).
+LIST_BITS, MOST_BITS, WORD_BITS = 16, 1 << 27, 1 << 15
 #: Texts of a component that elect leaders at once, and leaders that they elect.
 GROUP, LEADERS = 1000, 64
 
@@ -394,7 +396,7 @@ def representatives(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFr
     several = written(least.where("ids > 1").select(F.col("node").alias("_n"), "least"), "copied")
     copies = written(counts.join(several, F.col("node") == F.col("_n")).where(~F.col("id").eqNullSafe(F.col("least"))).select("id", "node"), "copies")
     repeats = written(without(counts.where("n > 1"), copies).select("id", "node"), "repeats")
-    one = without(rows, copies)
+    one = without_few(rows, copies)
     if repeats.head() is not None:
         again = among(one, repeats).groupBy("id", "node").agg(F.first("text").alias("text"))
         one = without(one, repeats).unionByName(again)
@@ -419,6 +421,27 @@ def without(rows: DataFrame, listed: DataFrame) -> DataFrame:
     return rows.join(at, F.col("id").eqNullSafe(F.col("_i")) & (F.col("node") == F.col("_n")), "left_anti")
 
 
+def marked(rows: DataFrame, listed: DataFrame, *keys: str) -> DataFrame:
+    """rows with `_maybe`: false only where no row of listed, a table, has the same keys.
+
+    One bit of LIST_BITS for each row of listed is sent to every task, at most MOST_BITS; so rows
+    with long texts need not be shuffled to find that they are not listed.
+    """
+    bits = max(WORD_BITS, min(MOST_BITS, 1 << (LIST_BITS * listed.count()).bit_length()))
+    place = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    at = listed.select(place.alias("at")).groupBy(F.expr(f"at div {WORD_BITS}").alias("_word"))
+    words = at.agg(F.bitmap_construct_agg(F.col("at") % WORD_BITS).alias("_bits"))
+    met = rows.withColumn("_at", place).join(F.broadcast(words), F.expr(f"_at div {WORD_BITS}") == F.col("_word"), "left")
+    byte = f"cast(conv(hex(substr(_bits, cast(_at % {WORD_BITS} div 8 as int) + 1, 1)), 16, 10) as bigint)"
+    return met.withColumn("_maybe", F.expr(f"coalesce(getbit({byte}, cast(_at % 8 as int)) = 1, false)")).drop("_at", "_word", "_bits")
+
+
+def without_few(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """without() of long rows and a table: only rows that may be listed are shuffled."""
+    both = marked(rows, listed, "id", "node")
+    return both.where("not _maybe").drop("_maybe").unionByName(without(both.where("_maybe").drop("_maybe"), listed))
+
+
 def among(rows: DataFrame, listed: DataFrame) -> DataFrame:
     """rows whose (id, node) is listed."""
     at = listed.select(F.col("id").alias("_i"), F.col("node").alias("_n"))
@@ -506,7 +529,9 @@ def candidate_pairs(rows: DataFrame, others: DataFrame, least: float) -> DataFra
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """(a, b, ia, ib) of those (a, b) pairs whose exact similarity is at least `least`, with their ids."""
+    """(a, b, ia, ib) of those (a, b) pairs, a table, whose exact similarity is at least `least`, with their ids."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("k"))
+    texts = marked(texts, ends, "k").where("_maybe")
     left, right = (texts.select(F.col("k").alias(c), F.col("id").alias(f"i{c}"), F.col("z").alias(f"z{c}")) for c in "ab")
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "ia", "ib", "za", "zb")
     schema = T.StructType([*rows.schema[:4], T.StructField("near", T.BooleanType())])
@@ -669,7 +694,7 @@ def keep_one(docs: DataFrame, *, shingle: int = 5, max_bits: int = 6, least: flo
     held = [f"c{i}" for i in range(len(docs.columns))]
     at = {n: h for n, h in zip(docs.columns, held)}
     source = docs.toDF(*held).withColumns({"id": F.col(at[id_col]), "node": word_key(F.col(at[text_col]))})
-    kept = without(source, off)
+    kept = without_few(source, off)
     if repeats.head() is not None:
         once = among(kept, repeats).groupBy("id", "node").agg(F.first(F.struct(*held)).alias("r")).select("r.*")
         kept = without(kept, repeats).select(*held).unionByName(once)
