@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import pathlib
 import random
 from collections import Counter
 
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill.functions import work
 from tidemill.llm import ann, html_extract, queries, url_filter, warc
 
 ARTICLE = "<html><body><nav><a>menu</a></nav><p>site line</p><article><h1>T &amp; t</h1><p>one<br> two</p><div class='ad'>buy</div></article><p>more site<footer>f</footer></body></html>"
@@ -115,6 +117,33 @@ def test_extract(spark, pages):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_repeated_rows_are_one_page(spark):
+    plain = lambda i: f"<p>site line</p><p>own {i}</p><p>more site</p>"
+    rows = [(i, f"http://a.example/{i:03}", plain(i)) for i in range(40)]
+    rows += rows[7:8] * 30 + rows[39:]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = Counter((r["page_id"], r["text"]) for r in html_extract.extract(frame).collect())
+    assert got == Counter((i, f"own {i}") for i, _, _ in rows)
+
+
+def test_texts_lie_on_disk_once(spark, tmp_path):
+    """Shuffles and written tables together, over pages of text that hardly compresses."""
+    rng = random.Random(13)
+    page = lambda i: "<nav>menu</nav><article>" + "".join(f"<p>{rng.randbytes(60).hex()}</p>" for _ in range(20)) + f"</article><footer>{i}</footer>"
+    rows = [(i, f"http://h{i % 7}.example/{i}", page(i)) for i in range(3000)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.option("compression", "zstd").parquet(str(tmp_path / "pages"))
+    size = lambda folder: sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+    shared = pathlib.Path(work.shared_dir(spark).removeprefix("file:"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    shuffled = lambda: sum(store.executorList(False).apply(i).totalShuffleWrite() for i in range(store.executorList(False).size()))
+    before = size(shared) + shuffled()
+    found = html_extract.extract(spark.read.parquet(str(tmp_path / "pages")))
+    found.write.parquet(str(tmp_path / "out"))
+    used = size(shared) + shuffled() - before
+    assert 0 < used < 1.5 * size(tmp_path / "pages")
+    assert spark.read.parquet(str(tmp_path / "out")).where("n_chars > 2400").count() == 3000
+
+
 def test_cascade_is_exact():
     rng = random.Random(2)
     keys = [f"k{i}" for i in range(5000)]

@@ -17,8 +17,13 @@ line of the page, the neighbour is a copy and they stay.
 
 Defined results: null and empty html give the empty text; the only page of a host is not
 differenced; null URLs form one host of their own with empty paths, in the order of their
-ids. Repeated rows each give a row. Nothing is capped: every line of every page counts, and
-very long pages are aligned in halves, in memory that grows with their lines, not with the square.
+ids. Repeated rows (of one id, url and html) are one page in that order and each give a row.
+Nothing is capped: every line of every page counts, and very long pages are aligned in halves,
+in memory that grows with their lines, not with the square.
+
+The texts lie on disk once, in the last join's shuffle, and the hashes of the lines twice: no table
+of either is written, every page is parsed twice instead. Rows meet by a 128-bit hash of what they
+hold, so the input must hold the same rows whenever it is read; a row that changes is not differenced.
 """
 
 from __future__ import annotations
@@ -253,25 +258,36 @@ def mark(lines: list[str]) -> list[int]:
     return [xxhash.xxh3_64_intdigest(x.encode()) - (1 << 63) for x in lines]
 
 
-def parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(id, url, uid, host, path, blocks, marks) of every page: parts_of(), packed, and hashes of the lines.
+def named(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """(id, url, html, uid): 128 bits of what a row holds are its name, wherever it is read."""
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    whole = F.concat(F.to_json(F.struct(F.col(id_col).alias("id"), F.col(url_col).alias("url"))), F.lit("\n"), html)
+    return pages.select(F.col(id_col), F.col(url_col), html.alias("html"), F.unhex(F.md5(whole)).alias("uid"))
 
-    Marked lines go on as hashes only.
-    """
-    source = pages.select(
-        F.col(id_col), F.col(url_col), F.monotonically_increasing_id().alias("uid"),
-        host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"),
-        F.coalesce(F.col(html_col), F.lit("")).alias("html"),
-    )
-    schema = T.StructType([*source.schema[:5], T.StructField("blocks", T.BinaryType()), T.StructField("marks", T.ArrayType(T.LongType()))])
+
+def outlines(rows: DataFrame) -> DataFrame:
+    """(uid, marks) of named rows: hashes of each page's lines."""
+    schema = T.StructType([T.StructField("uid", T.BinaryType()), T.StructField("marks", T.ArrayType(T.LongType()))])
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        marks = [mark([t for _, t in parts_of(x)]) for x in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.list_(pa.int64()))], names=schema.names)
+
+    return map_arrow(rows.select("uid", "html"), lambda: step, schema)
+
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """(id, url, uid, blocks, marks) of named rows: parts_of(), packed. Marked lines go on as hashes only, the others as text only."""
+    source = rows.select(*rows.columns[:2], "uid", "html")
+    schema = T.StructType([*source.schema[:3], T.StructField("blocks", T.BinaryType()), T.StructField("marks", T.ArrayType(T.LongType()))])
 
     def make():
         pack = zstandard.ZstdCompressor(level=9).compress
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = [parts_of(x) for x in batch.column(5).to_pylist()]
+            got = [parts_of(x) for x in batch.column(3).to_pylist()]
             blocks = pa.array([pack(json.dumps([(w, t if w >= 0 else "") for w, t in x], ensure_ascii=False).encode("utf-8", "surrogatepass")) for x in got], pa.binary())
-            return pa.RecordBatch.from_arrays([*batch.columns[:5], blocks, pa.array([mark([t for _, t in x]) for x in got], pa.list_(pa.int64()))], names=schema.names)
+            return pa.RecordBatch.from_arrays([*batch.columns[:3], blocks, pa.array([mark([t for w, t in x if w < 0]) for x in got], pa.list_(pa.int64()))], names=schema.names)
 
         return step
 
@@ -281,11 +297,11 @@ def parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
 def neighbours(sites: DataFrame, id_col: str) -> DataFrame:
     """(uid, host, path, prev, next): uid and path of the pages before and after, in each host's order.
 
-    One range-partitioned sort; rows at partition borders look into a table of two rows a
-    partition, so no host, however large, is ever gathered in one task.
+    Repeated rows lie in one partition and are one page. One range-partitioned sort; rows at partition
+    borders look into a table of two rows a partition, so no host, however large, is ever gathered in one task.
     """
     keys = ["host", "path", id_col, "uid"]
-    ordered = sites.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered = sites.select(*keys).repartitionByRange(*keys).distinct().sortWithinPartitions(*keys)
     ordered = written(ordered.withColumn("part", F.spark_partition_id()), "url-order")
     row = F.struct("host", "path", "uid")
     w = Window.partitionBy("part").orderBy(*keys)
@@ -308,9 +324,9 @@ def partners(near: DataFrame) -> DataFrame:
             alike = [len(os.path.commonprefix([path, x["path"]])) if x else -1 for x in (p, q)]
             best = p if alike[0] >= alike[1] else q
             out.append(best["uid"] if best else None)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["uid", "partner"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["uid", "partner"])
 
-    schema = T.StructType([T.StructField("uid", T.LongType()), T.StructField("partner", T.LongType())])
+    schema = T.StructType([near.schema["uid"], T.StructField("partner", T.BinaryType())])
     return map_arrow(near.select("uid", "path", "prev", "next"), lambda: closer, schema).where("partner is not null")
 
 
@@ -319,11 +335,13 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     Of n_lines lines n_shared go that the neighbour shares, n_marked more go by markup alone.
     """
-    lines = written(parsed(pages, id_col, url_col, html_col), "page-lines")
-    pair = partners(neighbours(lines, id_col))
-    other = lines.select(F.col("uid").alias("partner"), F.col("marks").alias("other"))
+    rows = named(pages, id_col, url_col, html_col)
+    sites = rows.select(id_col, "uid", host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    pair = partners(neighbours(sites, id_col))
+    other = outlines(rows).select(F.col("uid").alias("partner"), F.col("marks").alias("other")).dropDuplicates(["partner"])
     pair = pair.join(other, "partner").select("uid", "other")
-    rows = lines.join(pair, "uid", "left").select(id_col, url_col, "blocks", "marks", "other")
+    # by shuffle at every size, so that disk measured on small tables holds on large ones
+    rows = parsed(rows).join(pair.hint("merge"), "uid", "left").select(id_col, url_col, "blocks", "marks", "other")
     counts = ("n_chars", "n_lines", "n_shared", "n_marked")
     schema = T.StructType([*rows.schema[:2], T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in counts)])
 
@@ -332,7 +350,9 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
         def one(packed: bytes, marks: list[int], other: list[int] | None) -> tuple:
             blocks = json.loads(unpack(packed).decode("utf-8", "surrogatepass"))
-            shared = shared_lines(marks, other or [])
+            marked = iter(marks)
+            own = [next(marked) if w < 0 else x for (w, _), x in zip(blocks, mark([t for _, t in blocks]))]
+            shared = shared_lines(own, other or [])
             main = main_lines(blocks, shared)
             text = "\n\n".join(t for (_, t), keep in zip(blocks, main) if keep)
             by_site = sum(s and not k for s, k in zip(shared, main))
