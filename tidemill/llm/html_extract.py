@@ -21,7 +21,8 @@ ids. Repeated rows (of one id, url and html) are one page in that order and each
 Nothing is capped: every line of every page counts, and very long pages are aligned in halves,
 in memory that grows with their lines, not with the square.
 
-The texts lie on disk once, in the last join's shuffle, and the hashes of the lines twice: no table
+The texts lie on disk once, in the last join's shuffle, and the hashes of the lines twice (of marked
+lines, whose text goes no further, three times): no table
 of either is written, every page is parsed twice instead. Rows meet by a 128-bit hash of what they
 hold, so the input must hold the same rows whenever it is read; a row that changes is not differenced.
 """
@@ -259,10 +260,10 @@ def mark(lines: list[str]) -> list[int]:
 
 
 def named(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(id, url, html, uid): 128 bits of what a row holds are its name, wherever it is read."""
+    """(id, url, html, uid): 128 bits of the SHA-256 of what a row holds are its name, wherever it is read."""
     html = F.coalesce(F.col(html_col), F.lit(""))
     whole = F.concat(F.to_json(F.struct(F.col(id_col).alias("id"), F.col(url_col).alias("url"))), F.lit("\n"), html)
-    return pages.select(F.col(id_col), F.col(url_col), html.alias("html"), F.unhex(F.md5(whole)).alias("uid"))
+    return pages.select(F.col(id_col), F.col(url_col), html.alias("html"), F.unhex(F.substring(F.sha2(whole, 256), 1, 32)).alias("uid"))
 
 
 def outlines(rows: DataFrame) -> DataFrame:
